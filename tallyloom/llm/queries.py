@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, runs
+from tallyloom.llm import bpe, leaks, runs
 from tallyloom.session import table
 
 
@@ -25,6 +25,17 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the items they leak."""
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items with the number of documents that carry them."""
+    found = leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.round(F.max("share"), 4).alias("most_share"))
+
+
 _RUNS = """
     WITH s AS (SELECT DISTINCT ON (video_id, run_name, segment_index) video_id, run_name, segment_index, start_second, end_second,
                       regexp_replace(lower(trim(phash_hex)), '^0x', '') AS h
@@ -41,4 +52,4 @@ ORACLE = {
     "p6_found": "SELECT video_id, first_segment_index, last_segment_index FROM (" + _RUNS.format(more="count(*) AS c", having="HAVING count(*) > 1") + ")",
     "p6_runs": _RUNS.format(more="count(*) AS slice_count, min(start_second) AS start_second, max(end_second) AS end_second, round(max(end_second) - min(start_second), 3) AS duration_seconds", having=""),
 }
-QUERIES = {"p6_found": p6_found, "p6_runs": p6_runs, "p8_ids": p8_ids}
+QUERIES = {"p6_found": p6_found, "p6_runs": p6_runs, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items}

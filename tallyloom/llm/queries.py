@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, leaks, runs
+from tallyloom.functions.keys import video_key
+from tallyloom.llm import bpe, canon, cuts, leaks, runs
 from tallyloom.session import table
 
 
@@ -36,6 +37,32 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.round(F.max("share"), 4).alias("most_share"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records of one video whose texts look the same but differ."""
+    comments, records = table(spark, sf_dir, "comments"), table(spark, sf_dir, "text_records")
+    a = canon.same_looks(comments, F.col("id"), F.col("video_id"), F.col("text"))
+    b = canon.same_looks(records, F.col("text_record_id"), video_key(F.col("video_id")), F.col("ocr_text"))
+    return a.select(F.lit("comments").alias("record_table"), "*").unionByName(b.select(F.lit("text_records").alias("record_table"), "*"))
+
+
+def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of both tables in its one form."""
+    a = table(spark, sf_dir, "comments").select(F.lit("comments").alias("record_table"), F.col("id"), F.col("text"))
+    b = table(spark, sf_dir, "text_records").select(F.lit("text_records").alias("record_table"), F.col("text_record_id").alias("id"), F.col("ocr_text").alias("text"))
+    once = a.unionByName(b).groupBy("record_table", "id").agg(F.max("text").alias("text"))
+    return canon.with_canonical(once, "text", "canonical", ["record_table", "id"])
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text was cut."""
+    return cuts.find_cuts(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of cut documents per source."""
+    return cuts.cut_rates(table(spark, sf_dir, "documents"))
+
+
 _RUNS = """
     WITH s AS (SELECT DISTINCT ON (video_id, run_name, segment_index) video_id, run_name, segment_index, start_second, end_second,
                       regexp_replace(lower(trim(phash_hex)), '^0x', '') AS h
@@ -52,4 +79,4 @@ ORACLE = {
     "p6_found": "SELECT video_id, first_segment_index, last_segment_index FROM (" + _RUNS.format(more="count(*) AS c", having="HAVING count(*) > 1") + ")",
     "p6_runs": _RUNS.format(more="count(*) AS slice_count, min(start_second) AS start_second, max(end_second) AS end_second, round(max(end_second) - min(start_second), 3) AS duration_seconds", having=""),
 }
-QUERIES = {"p6_found": p6_found, "p6_runs": p6_runs, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items}
+QUERIES = {"p6_found": p6_found, "p6_runs": p6_runs, "p3_found": p3_found, "p3_canonical": p3_canonical, "p10_found": p10_found, "p10_rates": p10_rates, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.keys import video_key
-from tallyloom.llm import bpe, canon, cuts, leaks, runs
+from tallyloom.llm import abuse, bpe, canon, cuts, leaks, runs
 from tallyloom.session import table
 
 
@@ -53,6 +53,32 @@ def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.with_canonical(once, "text", "canonical", ["record_table", "id"])
 
 
+def _comment_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "comments").select(F.lit("comments").alias("record_table"), F.col("id").cast("string").alias("record_id"), "text")
+    b = table(spark, sf_dir, "comment_rows").select(F.lit("comment_rows").alias("record_table"), F.col("comment_row_id").cast("string").alias("record_id"), F.col("text_clean").alias("text"))
+    return a.unionByName(b)
+
+
+def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every comment of both tables."""
+    texts = _comment_texts(spark, sf_dir)
+    model = abuse.train(*abuse.labelled_sample(table(spark, sf_dir, "abuse_labels"), texts))
+    return abuse.score(texts, model)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abusive comments of both tables."""
+    return p7_scores(spark, sf_dir).filter(F.col("score") >= abuse.THRESHOLD).select("record_table", "record_id")
+
+
+def p7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of abusive comments per source."""
+    comments = table(spark, sf_dir, "comments").select(F.col("id").cast("string").alias("record_id"), "source").groupBy("record_id").agg(F.min("source").alias("source"))
+    scored = p7_scores(spark, sf_dir).filter("record_table = 'comments'")
+    both = comments.join(scored, "record_id").groupBy("source").agg(F.count("*").alias("n_comments"), F.sum((F.col("score") >= abuse.THRESHOLD).cast("int")).alias("n_abusive"))
+    return both.withColumn("share_abusive", F.round(F.col("n_abusive") / F.col("n_comments"), 6))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text was cut."""
     return cuts.find_cuts(table(spark, sf_dir, "documents")).select("doc_id")
@@ -79,4 +105,4 @@ ORACLE = {
     "p6_found": "SELECT video_id, first_segment_index, last_segment_index FROM (" + _RUNS.format(more="count(*) AS c", having="HAVING count(*) > 1") + ")",
     "p6_runs": _RUNS.format(more="count(*) AS slice_count, min(start_second) AS start_second, max(end_second) AS end_second, round(max(end_second) - min(start_second), 3) AS duration_seconds", having=""),
 }
-QUERIES = {"p6_found": p6_found, "p6_runs": p6_runs, "p3_found": p3_found, "p3_canonical": p3_canonical, "p10_found": p10_found, "p10_rates": p10_rates, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items}
+QUERIES = {"p6_found": p6_found, "p6_runs": p6_runs, "p3_found": p3_found, "p3_canonical": p3_canonical, "p7_found": p7_found, "p7_scores": p7_scores, "p7_rates": p7_rates, "p10_found": p10_found, "p10_rates": p10_rates, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items}

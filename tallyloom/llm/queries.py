@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.keys import video_key
-from tallyloom.llm import abuse, bpe, canon, cuts, leaks, pii, runs
+from tallyloom.llm import abuse, bpe, canon, cuts, leaks, pii, runs, scans
 from tallyloom.session import table
 
 
@@ -53,6 +53,16 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact_texts(_raw_texts(spark, sf_dir))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of scan noise present in each record's texts."""
+    return scans.find_noise(table(spark, sf_dir, "text_records"))
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame text and subtitle as continuous paragraphs."""
+    return scans.repair_texts(table(spark, sf_dir, "text_records"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records of one video whose texts look the same but differ."""
     comments, records = table(spark, sf_dir, "comments"), table(spark, sf_dir, "text_records")
@@ -121,4 +131,4 @@ ORACLE = {
     "p6_found": "SELECT video_id, first_segment_index, last_segment_index FROM (" + _RUNS.format(more="count(*) AS c", having="HAVING count(*) > 1") + ")",
     "p6_runs": _RUNS.format(more="count(*) AS slice_count, min(start_second) AS start_second, max(end_second) AS end_second, round(max(end_second) - min(start_second), 3) AS duration_seconds", having=""),
 }
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p6_found": p6_found, "p6_runs": p6_runs, "p3_found": p3_found, "p3_canonical": p3_canonical, "p7_found": p7_found, "p7_scores": p7_scores, "p7_rates": p7_rates, "p10_found": p10_found, "p10_rates": p10_rates, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_repaired": p2_repaired, "p6_found": p6_found, "p6_runs": p6_runs, "p3_found": p3_found, "p3_canonical": p3_canonical, "p7_found": p7_found, "p7_scores": p7_scores, "p7_rates": p7_rates, "p10_found": p10_found, "p10_rates": p10_rates, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items}

@@ -138,9 +138,12 @@ def ngrams(c: Column, low: int, high: int, chunk: str = r"[\x{4E00}-\x{9FFF}]+")
     """Distinct n-grams of each maximal chunk of the class, n from low to high."""
     chunks = F.regexp_extract_all(c, F.lit(f"({chunk})"), F.lit(1))
 
+    def of_length(x: Column, n: int) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substring(x, i, F.lit(n)))
+        return F.when(F.length(x) >= n, parts).otherwise(F.array().cast("array<string>"))
+
     def grams(x: Column) -> Column:
-        parts = [F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i, n=n: F.substring(x, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
-        return F.concat(*parts)
+        return F.concat(*(of_length(x, n) for n in range(low, high + 1)))
 
     return F.array_distinct(F.flatten(F.transform(chunks, grams)))
 

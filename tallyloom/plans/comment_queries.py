@@ -59,10 +59,8 @@ def zero_comment_having(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, blank, symbol-only and repeated texts after cleaning."""
     d = comments(spark, sf_dir).select(X.clean(F.col("text")).alias("t"))
-    blank = F.coalesce(F.col("t") == "", F.lit(True))
     per = d.groupBy("t").agg(F.count("*").alias("n")).withColumn("blank", F.coalesce(F.col("t") == "", F.lit(True)))
     sym = F.when(~F.col("blank"), X.symbol_only(F.col("t"))).otherwise(F.lit(False))
-    del blank
     return per.agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("blank"), F.col("n")).otherwise(0)).alias("n_blank"), F.sum(F.when(sym, F.col("n")).otherwise(0)).alias("n_symbol_only"), F.sum(F.when(~F.col("blank"), F.col("n") - 1).otherwise(0)).alias("n_repeated"), F.count_if(~F.col("blank")).alias("n_kept"))
 
 

@@ -64,7 +64,8 @@ def binary_metrics(df: DataFrame, truth: str, guess: str) -> DataFrame:
 def class_report(df: DataFrame, truth: str, guess: str) -> DataFrame:
     """Precision, recall, f1 and support of each class, and macro and weighted means."""
     d = df.filter(F.col(truth).isNotNull() & F.col(guess).isNotNull())
-    per = d.groupBy(F.explode(F.array_distinct(F.array(truth, guess))).alias("k")).agg(F.count_if((F.col(truth) == F.col("k")) & (F.col(guess) == F.col("k"))).alias("tp"), F.count_if(F.col(guess) == F.col("k")).alias("n_guess"), F.count_if(F.col(truth) == F.col("k")).alias("support"))
+    d = d.select(truth, guess, F.explode(F.array_distinct(F.array(truth, guess))).alias("k"))
+    per = d.groupBy("k").agg(F.count_if((F.col(truth) == F.col("k")) & (F.col(guess) == F.col("k"))).alias("tp"), F.count_if(F.col(guess) == F.col("k")).alias("n_guess"), F.count_if(F.col(truth) == F.col("k")).alias("support"))
     return _report(per)
 
 

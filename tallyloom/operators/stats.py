@@ -152,10 +152,9 @@ def wilcoxon_pairs(df: DataFrame, group: str, value: str) -> DataFrame:
     Counts per (group, value) are formed once; a pair ranks values, not rows.
     """
     counts = df.filter(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
-    levels = counts.agg(F.sort_array(F.collect_set(group)).alias("gs"))
-    pairs = levels.select(F.explode(F.flatten(F.transform("gs", lambda a, i: F.transform(F.slice("gs", i + 2, F.size("gs")), lambda b: F.struct(a.alias("group_a"), b.alias("group_b")))))).alias("p")).select("p.*")
-    # a value goes to the pairs its group is in: groups are levels of a factor
-    d = pairs.join(counts, (F.col("group_a") == F.col(group)) | (F.col("group_b") == F.col(group)))
+    # a row goes to the pairs of its group with every other level of the factor
+    levels = counts.agg(F.collect_set(group)).scalar()
+    d = counts.withColumn("_other", F.explode(F.array_except(levels, F.array(group)))).withColumns({"group_a": F.least(group, "_other"), "group_b": F.greatest(group, "_other")})
     v = d.groupBy("group_a", "group_b", value).agg(F.sum(F.when(F.col(group) == F.col("group_a"), F.col("n")).otherwise(0)).alias("na"), F.sum("n").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("group_a", "group_b").orderBy(value))
     v = v.withColumn("rank", upto - (F.col("n") - 1) / 2.0)

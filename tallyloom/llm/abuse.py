@@ -55,7 +55,7 @@ def clauses(text: str | None) -> list[str]:
         t = _LINK.sub(" ", t)
     t = _INSIDE_HAN.sub("", t)
     if _LATIN.search(t):
-        t = _LEET.sub(lambda m: m[0].translate(_LETTERS), t)
+        t = _LEET.sub(lambda m: m[0].translate(_LETTERS), t.replace(" @ ", " a "))
         t = _INSIDE_WORD.sub(lambda m: m[1] + re.sub("[^a-z]", "", m[2]), t)
         t = _LONG.sub(r"\1", _INNER.sub("", t))
     out = []

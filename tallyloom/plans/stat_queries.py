@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +13,7 @@ from tallyloom.operators import rollups as R
 from tallyloom.operators import stats as T
 from tallyloom.operators.sampling import stratified_split
 from tallyloom.plans.views import comments, labels
-from tallyloom.session import table
+from tallyloom.session import shared_folder, table
 from tallyloom.streaming import streams
 
 
@@ -133,14 +133,9 @@ def tfidf_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream_out(spark: SparkSession, df: DataFrame, mode: str = "append") -> DataFrame:
     # results go where the cluster shares files
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    folder = f"{base.removeprefix('file://')}/streams" if base else tempfile.gettempdir()
-    import os
-    import uuid
-
-    out = os.path.join(folder, uuid.uuid4().hex)
-    streams.run_now(df, f"file://{out}/data", f"file://{out}/log", mode).awaitTermination()
-    return spark.read.parquet(f"file://{out}/data")
+    out = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    streams.run_now(df, f"{out}/data", f"{out}/log", mode).awaitTermination()
+    return spark.read.parquet(f"{out}/data")
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

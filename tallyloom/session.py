@@ -30,18 +30,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``; a local one only in local mode."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir", "")
+    if not folder:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = "file:///tmp/tallyloom-checkpoints"
+    return folder
+
 
-    The folder comes from ``spark.checkpoint.dir``. It is set here only where
-    the session names none, which is the case for local tests.
-    """
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir", "")
-        if not folder:
-            if not sc.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = "/tmp/tallyloom-checkpoints"
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

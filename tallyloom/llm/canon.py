@@ -58,7 +58,7 @@ def segments() -> re.Pattern:
             if len(parts) == 2 and parts[0][0] != "<":
                 joins.add(chr(int(parts[1], 16)))
         ranges, start = [], None
-        for n in range(0xA0, sys.maxunicode + 1):
+        for n in range(0xA0, 0x10000):
             c = chr(n)
             if 0xD800 <= n <= 0xDFFF or 0xAC00 <= n <= 0xD7A3 or 0x4E00 <= n <= 0x9FFF:
                 bad = False
@@ -70,7 +70,9 @@ def segments() -> re.Pattern:
                 ranges.append((start, n - 1))
                 start = None
         if start is not None:
-            ranges.append((start, sys.maxunicode))
+            ranges.append((start, 0xFFFF))
+        # one range for all beyond: a matcher keeps those as a list it walks for every character
+        ranges.append((0x10000, sys.maxunicode))
         cls = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
         _segment = re.compile(f"[^{cls}]?[{cls}]+")
     return _segment

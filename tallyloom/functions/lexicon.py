@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import any_term, count_term, count_terms, matched_terms, sigmoid, weigh_terms
+from tallyloom.functions.text import any_term, count_terms, matched_terms, sigmoid, weigh_terms
 
 
 @dataclass(frozen=True)
@@ -50,10 +51,13 @@ def raw_sentiment(c: Column, lex: Lexicon) -> Column:
 
     Overlapping terms count once each, as the score is defined.
     """
-    weights = [(t, 1) for t in lex.positive] + [(t, -1) for t in lex.negative]
-    for n in lex.negators:
-        weights += [(n + t, 2) for t in lex.negative] + [(n + t, -2) for t in lex.positive]
-    return weigh_terms(c, weights).cast("double")
+    base = [(t, 1) for t in lex.positive] + [(t, -1) for t in lex.negative]
+    turned = [(n + t, -2 * w) for n in lex.negators for t, w in base]
+    if not turned:
+        return weigh_terms(c, base).cast("double")
+    # few texts hold a negated term: one scan spares the loop over all pairs
+    either = lambda terms: "(?:" + "|".join(re.escape(t) for t in terms) + ")"
+    return (weigh_terms(c, base) + weigh_terms(c, turned, either(lex.negators) + either([t for t, _ in base]))).cast("double")
 
 
 def sentiment_score(c: Column, lex: Lexicon = DEFAULT) -> Column:
@@ -93,7 +97,8 @@ def transmissibility(parent: Column, reply: Column) -> Column:
 def category_cosines(c: Column, categories: dict[str, Sequence[str]]) -> dict[str, Column]:
     """Cosine of the term counts with each category's indicator."""
     every = sorted({t for terms in categories.values() for t in terms})
-    norm = F.sqrt(sum((count_term(c, t) * count_term(c, t) for t in every[1:]), count_term(c, every[0]) * count_term(c, every[0])).cast("double"))
+    hits = F.aggregate(F.transform(matched_terms(c, every), lambda t: (F.length(c) - F.length(F.replace(c, t, F.lit("")))) / F.length(t)), F.lit(0.0), lambda acc, n: acc + n * n)
+    norm = F.sqrt(hits)
     return {k: F.when(norm == 0, F.lit(0.0)).otherwise(count_terms(c, terms) / (norm * F.sqrt(F.lit(float(len(set(terms))))))) for k, terms in categories.items()}
 
 

@@ -55,11 +55,12 @@ def count_term(c: Column, term: str) -> Column:
     return ((F.length(c) - F.length(F.replace(c, F.lit(term), F.lit("")))) / F.lit(len(term))).cast("int")
 
 
-def weigh_terms(c: Column, weights: Sequence[tuple[str, int]]) -> Column:
+def weigh_terms(c: Column, weights: Sequence[tuple[str, int]], guard: str | None = None) -> Column:
     """Occurrences of each term times its weight, summed; give it a column, not an expression.
 
     One loop over a literal array, so that a lexicon of any length is one
-    small piece of code; a text with none of the terms skips it.
+    small piece of code; a text with none of the terms skips it. ``guard`` is
+    a pattern found wherever a term is, if there is one tighter than the terms.
     """
     if not weights:
         return F.lit(0)
@@ -70,7 +71,7 @@ def weigh_terms(c: Column, weights: Sequence[tuple[str, int]]) -> Column:
     for t in sorted({t for t, _ in weights}, key=lambda t: (len(t), t)):
         if not any(s in t for s in short):
             short.append(t)
-    return F.when(c.rlike("|".join(re.escape(t) for t in short)), total).otherwise(F.when(c.isNotNull(), F.lit(0)))
+    return F.when(c.rlike(guard or "|".join(re.escape(t) for t in short)), total).otherwise(F.when(c.isNotNull(), F.lit(0)))
 
 
 def count_terms(c: Column, terms: Sequence[str]) -> Column:

@@ -22,14 +22,13 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
     Quantiles interpolate linearly between order statistics.
     """
-    out = None
-    for c in cols:
-        x = F.col(c).cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        one = df.agg(F.count(x).alias("n"), (F.count("*") - F.count(x)).alias("missing"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), q.alias("q"), F.min(x).alias("low"), F.max(x).alias("high"))
-        one = one.select(F.lit(c).alias("variable"), "n", "missing", "mean", "sd", F.col("q")[1].alias("median"), F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75"), "low", "high")
-        out = one if out is None else out.unionByName(one)
-    return out
+    x = {c: F.col(c).cast("double") for c in cols}
+    # one scan: all columns in one aggregate, then a row for each
+    one = {c: F.struct(F.count(v).alias("n"), (F.count("*") - F.count(v)).alias("missing"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min(v).alias("low"), F.max(v).alias("high")) for c, v in x.items()}
+    row = df.agg(*(s.alias(f"_{i}") for i, s in enumerate(one.values())))
+    long = row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(f"_{i}").alias("s")) for i, c in enumerate(cols)))).alias("r"))
+    s = "r.s."
+    return long.select("r.variable", s + "n", s + "missing", s + "mean", s + "sd", F.col("r.s.q")[1].alias("median"), F.col("r.s.q")[0].alias("p25"), F.col("r.s.q")[2].alias("p75"), s + "low", s + "high")
 
 
 def crosstab(df: DataFrame, a: Column, b: Column) -> DataFrame:

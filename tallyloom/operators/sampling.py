@@ -28,11 +28,11 @@ def quantile_bins(df: DataFrame, value: str, q: int = 5, out: str = "bin") -> Da
     Edges are exact quantiles with linear interpolation, got from the counts
     of distinct values.
     """
-    edges = df.agg(F.array_distinct(F.percentile(F.col(value), F.array(*(F.lit(i / q) for i in range(q + 1))))).alias("_e"))
-    e = F.col("_e")
-    rank = F.aggregate(F.slice(e, 2, F.greatest(F.size(e) - 1, F.lit(0))), F.lit(0), lambda acc, x: acc + F.when(F.col(value) > x, 1).otherwise(0))
-    # one row of q + 1 edges
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(edges.withColumn("_one", F.lit(1))), "_one").withColumn(out, rank).drop("_e", "_one")
+    # exact quantiles of a column from its counts: a scalar subquery of q + 1 numbers
+    sizes = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    e = sizes.agg(F.array_distinct(F.percentile("_v", F.array(*(F.lit(i / q) for i in range(q + 1))), F.col("_n")))).scalar()
+    inner = df.withColumn("_e", F.slice(e, 2, F.greatest(F.size(e) - 1, F.lit(0))))
+    return inner.withColumn(out, F.aggregate("_e", F.lit(0), lambda acc, x: acc + F.when(F.col(value) > x, 1).otherwise(0))).drop("_e")
 
 
 def largest_remainder(sizes: DataFrame, key: str, size: str, n: int) -> DataFrame:

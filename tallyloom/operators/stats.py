@@ -104,10 +104,9 @@ def mid_ranks(df: DataFrame, value: str, buckets: int = 64) -> DataFrame:
     that no task ranks them all; NULL values have no rank.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    edges = counts.agg(F.percentile_approx(F.col(value), F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(1000)).alias("_e")).withColumn("_one", F.lit(1))
-    # one row of 63 edges
-    d = counts.withColumn("_one", F.lit(1)).join(F.broadcast(edges), "_one")
-    d = d.withColumn("_b", F.aggregate(F.coalesce("_e", F.array().cast(f"array<{dict(counts.dtypes)[value]}>")), F.lit(0), lambda acc, e: acc + F.when(F.col(value) > e, 1).otherwise(0))).drop("_e", "_one")
+    # a scalar subquery of 63 numbers
+    edges = counts.agg(F.coalesce(F.percentile_approx(F.col(value), F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(1000)), F.array().cast(f"array<{dict(counts.dtypes)[value]}>"))).scalar()
+    d = counts.withColumn("_e", edges).withColumn("_b", F.aggregate("_e", F.lit(0), lambda acc, e: acc + F.when(F.col(value) > e, 1).otherwise(0))).drop("_e")
     per = d.groupBy("_b").agg(F.sum("n").alias("_t"))
     # 64 rows at most
     before = per.withColumn("_before", F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_b", "_before")
@@ -128,9 +127,9 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     d = df.filter(F.col(group).isNotNull()).join(ranks.select(value, "mid_rank"), value)
     g = d.groupBy(group).agg(F.sum("mid_rank").alias("r"), F.count("*").alias("n"))
     a = g.agg(F.sum(F.col("r") ** 2 / F.col("n")).alias("s"), F.sum("n").alias("n"), F.count("*").alias("k"))
-    ties = ranks.agg(F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("ties"))
+    ties = ranks.agg(F.sum(F.col("n").cast("double") ** 3 - F.col("n"))).scalar()
     n = F.col("n").cast("double")
-    one = a.withColumn("_one", F.lit(1)).join(ties.withColumn("_one", F.lit(1)), "_one")
+    one = a.withColumn("ties", ties)
     h = (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / (1 - F.col("ties") / (n**3 - n))
     return with_p(one.select(h.alias("statistic"), (F.col("k") - 1).cast("long").alias("df")), chi2_p, ["statistic", "df"])
 

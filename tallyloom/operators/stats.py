@@ -299,6 +299,35 @@ def negative_binomial(df: DataFrame, y: str, xs: Sequence[str], offset: str | No
     return out
 
 
+def anova_two_way(df: DataFrame, a: str, b: str, value: str) -> pd.DataFrame:
+    """Two-way F tests, each main effect given the other (type II), and the interaction.
+
+    Only counts, sums and sums of squares per cell reach the driver: as many
+    numbers as the two factors have level pairs.
+    """
+    x = F.col(value).cast("double")
+    cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & x.isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q")).toPandas()
+    n, m = cells.n.to_numpy(float), (cells.s / cells.n).to_numpy(float)
+    within = float((cells.q - cells.s**2 / cells.n).sum())
+    da = pd.get_dummies(cells.a, drop_first=True).to_numpy(float)
+    db = pd.get_dummies(cells.b, drop_first=True).to_numpy(float)
+    one = np.ones((len(cells), 1))
+
+    def lack(parts: list[np.ndarray]) -> tuple[float, int]:
+        d = np.column_stack(parts)
+        w = np.sqrt(n)[:, None]
+        beta, _, rank, _ = np.linalg.lstsq(d * w, m * w[:, 0], rcond=None)
+        return float((n * (m - d @ beta) ** 2).sum()), int(rank)
+
+    (ra, ka), (rb, kb), (rab, kab) = lack([one, da]), lack([one, db]), lack([one, da, db])
+    rest = n.sum() - len(cells)
+    rows = [(a, rb - rab, kab - kb), (b, ra - rab, kab - ka), (f"{a}:{b}", rab, len(cells) - kab)]
+    out = pd.DataFrame(rows, columns=["effect", "sum_sq", "df"])
+    out["statistic"] = [s / k / (within / rest) if k and rest > 0 else float("nan") for s, k in zip(out.sum_sq, out.df)]
+    out["p_value"] = [f_p(f, k, rest) if f == f else float("nan") for f, k in zip(out.statistic, out.df)]
+    return out
+
+
 def dummies(df: DataFrame, col: str, levels: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """0/1 columns for all levels but the first, which is the reference."""
     names = [f"{col}_{i}" for i in range(1, len(levels))]

@@ -50,6 +50,11 @@ def anova_oneway(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.select(F.round("statistic", 6).alias("statistic"), "df1", "df2")
 
 
+def anova_twoway(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Return rates by status and priority, and their interaction."""
+    return spark.createDataFrame(T.anova_two_way(order_returns(spark, sf_dir), "o_orderstatus", "o_orderpriority", "rate"))
+
+
 def wilcoxon_holm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank sums of return rates for each pair of statuses, p-values adjusted."""
     return T.wilcoxon_pairs(order_returns(spark, sf_dir), "o_orderstatus", "rate")
@@ -173,4 +178,4 @@ ORACLE = {
     "winsorized_mean": "WITH q AS (SELECT quantile_cont(l_extendedprice, 0.01) AS lo, quantile_cont(l_extendedprice, 0.99) AS hi FROM lineitem) SELECT l_returnflag, round(avg(greatest(least(l_extendedprice, hi), lo)), 4) AS mean FROM lineitem, q GROUP BY 1",
     "median_imputed": "WITH c AS (SELECT id, source, like_count AS likes FROM comments QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, level DESC NULLS LAST, text DESC NULLS LAST, like_count DESC NULLS LAST) = 1) SELECT source, round(avg(coalesce(likes, (SELECT coalesce(median(likes), 0) FROM c))), 6) AS mean_likes FROM c GROUP BY 1",
 }
-QUERIES = {f.__name__: f for f in (chi_square, chi_square_p, kruskal_wallis, anova_oneway, wilcoxon_holm, wilcoxon_w, spearman, winsorized_mean, median_imputed, ols_hc3, ols_robustness, neg_binomial, tfidf_logreg, tfidf_svm, stream_tumbling, stream_once)}
+QUERIES = {f.__name__: f for f in (chi_square, chi_square_p, kruskal_wallis, anova_oneway, anova_twoway, wilcoxon_holm, wilcoxon_w, spearman, winsorized_mean, median_imputed, ols_hc3, ols_robustness, neg_binomial, tfidf_logreg, tfidf_svm, stream_tumbling, stream_once)}

@@ -102,6 +102,23 @@ def test_negative_binomial_recovers(spark):
     assert fit.estimate.tolist() == pytest.approx([0.5, 0.7], abs=0.08) and fit.attrs["theta"] == pytest.approx(2.0, rel=0.15)
 
 
+def test_two_way_anova_by_residuals(spark):
+    rng = np.random.default_rng(3)
+    f = pd.DataFrame({"a": rng.choice(list("xyz"), 300), "b": rng.choice(list("uv"), 300)})
+    f["v"] = (f.a == "x") * 1.0 + (f.b == "u") * 0.5 + rng.normal(size=300)
+    got = T.anova_two_way(spark.createDataFrame(f), "a", "b", "v").set_index("effect")
+
+    def rss(*parts):
+        d = np.column_stack([np.ones(300), *(p.to_numpy(float) for p in parts)])
+        return float(((f.v - d @ np.linalg.lstsq(d, f.v, rcond=None)[0]) ** 2).sum())
+
+    a, b, ab = pd.get_dummies(f.a), pd.get_dummies(f.b), pd.get_dummies(f.a + f.b)
+    full = rss(ab)
+    want = {"a": (rss(b) - rss(a, b), 2), "b": (rss(a) - rss(a, b), 1), "a:b": (rss(a, b) - full, 2)}
+    for k, (ss, df) in want.items():
+        assert got.loc[k, "df"] == df and got.loc[k, "statistic"] == pytest.approx(ss / df / (full / 294), rel=1e-8)
+
+
 def test_describe_and_winsor(spark):
     d = R.describe(spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,), (None,)], "v double"), ["v"]).first()
     assert (d.n, d.missing, d.median, d.p25, d.p75) == (4, 1, 2.5, 1.75, 3.25)

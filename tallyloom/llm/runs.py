@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.keys import video_key
 from tallyloom.session import checkpointed
 
 #: Positions of one block of an entity's sequence.
@@ -112,7 +113,8 @@ def collapse_runs(slices: DataFrame, bits: int = 8, gap: float = 1.0, block: int
     """One row per run of two or more slices in the latest run_name of each video.
 
     Columns video_id, first_segment_index, last_segment_index, slice_count,
-    start_second, end_second. Rows without video_id, run_name or segment_index
+    start_second, end_second. Ids compare, and come out, trimmed and without a
+    trailing ``.0``. Rows without video_id, run_name or segment_index
     are left out. Of rows repeating a segment of a video and run, one is kept
     (smallest start, end, hash). A NULL or unreadable hash and a NULL time
     continue nothing and are not continued. ``singles`` keeps runs of one
@@ -122,7 +124,7 @@ def collapse_runs(slices: DataFrame, bits: int = 8, gap: float = 1.0, block: int
     # two halves: an unsigned 64-bit value has no type of its own
     half = lambda at: F.conv(F.substring(digits, at, 8), 16, 10).cast("long")
     h = F.when(F.length(digits) == 16, F.shiftleft(half(1), 32).bitwiseOR(half(9)))
-    rows = slices.select("video_id", "run_name", "segment_index", F.col("start_second").cast("double").alias("start_second"), F.col("end_second").cast("double").alias("end_second"), h.alias("h"))
+    rows = slices.select(video_key(F.col("video_id")).alias("video_id"), "run_name", "segment_index", F.col("start_second").cast("double").alias("start_second"), F.col("end_second").cast("double").alias("end_second"), h.alias("h"))
     rows = rows.filter("video_id is not null and run_name is not null and segment_index is not null").withColumn("block", F.floor(F.col("segment_index") / F.lit(block)).cast("long"))
     ordered = rows.repartition("video_id", "run_name", "block").sortWithinPartitions("video_id", "run_name", "block", "segment_index", "start_second", "end_second", "h")
     # runs only, read three times below

@@ -167,7 +167,8 @@ def test_runs_match_a_plain_loop(spark, block):
             seq.append((i, s, e, None if rng.random() < 0.05 else h))
         for r in seq:
             hx = None if r[3] is None else rng.choice([f"{r[3]:016x}", f"{r[3]:016X}", f"0x{r[3]:016x}", f" {r[3]:016x} "])
-            rows += [(f"v{v}", "run_2", r[0], r[1], r[2], hx, "x")] * rng.choice([1, 1, 2])
+            vid = rng.choice([f"v{v}", f" v{v}", f"v{v}.0"])
+            rows += [(vid, "run_2", r[0], r[1], r[2], hx, "x")] * rng.choice([1, 1, 2])
             rows.append((f"v{v}", "run_1", r[0], r[1], r[2], "0" * 16, "x"))
         want |= {(f"v{v}", a, z, n) for a, z, n in _runs(seq)}
     rng.shuffle(rows)

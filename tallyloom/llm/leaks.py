@@ -1,12 +1,13 @@
 """Evaluation passages inside corpus documents.
 
-SimHash fingerprints of item-sized windows: an item gives one for every
-offset, a document one for every few characters, both over hashed character
-shingles of the text without case, width, punctuation, spacing or invisible
-characters. Four 16-bit blocks index the items' fingerprints; two that differ
-in at most three bits agree in a block, so the lookup misses none within the
-radius. Candidates are verified by shingles weighted by how few items hold
-them.
+SimHash fingerprints of windows as long as the verification shingle, one for
+every offset of item and document, over hashed character shingles of the text
+without case, width, punctuation, spacing or invisible characters. Four 16-bit
+blocks index the fingerprints of the items' own wording; two that differ in at
+most three bits agree in a block, so the lookup misses none within the radius.
+A pair is verified by shingles weighted by how few items hold them and accepted
+only with a shingle of the item's own wording in common, whose window has then
+the same fingerprint on both sides: every acceptable pair is a candidate.
 """
 
 from __future__ import annotations
@@ -22,12 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RADIUS, BLOCKS, SHINGLE = 3, 4, 4
-#: Characters between the windows of a document.
-STRIDE = 6
-#: Window in characters, verification shingle, longest stock phrase and the
+#: Shingles in a window, verification shingle, longest stock phrase and the
 #: gap that a changed word leaves, for dense (Han, kana, hangul) and for
-#: alphabetic items.
-DENSE, ALPHABETIC = (24, 6, 14, 6), (60, 14, 34, 16)
+#: alphabetic items. A window spans one verification shingle.
+DENSE, ALPHABETIC = (3, 6, 14, 6), (11, 14, 34, 16)
 #: Least weight of an item's own wording that a document must carry.
 SHARE = 0.4
 #: Items in one broadcast index; more are done in several passes.
@@ -94,6 +93,8 @@ class Item:
     kind: tuple[int, int, int, int]
     shingles: np.ndarray
     weights: np.ndarray
+    #: Weight of each character: the greatest of the shingles over it.
+    chars: np.ndarray
 
 
 class Index:
@@ -106,7 +107,7 @@ class Index:
             if len(p):
                 dense = np.mean((p >= 0x2E80) & (p < 0xE000) | (p >= 0x20000)) > 0.3
                 kind = DENSE if dense else ALPHABETIC
-                self.items.append(Item(i, kind, shingle_hashes(p, kind[1]), np.zeros(0)))
+                self.items.append(Item(i, kind, shingle_hashes(p, kind[1]), np.zeros(0), np.zeros(0)))
         for kind in (DENSE, ALPHABETIC):
             own = [x for x in self.items if x.kind == kind]
             if own:
@@ -115,12 +116,16 @@ class Index:
                     # a phrase that several items share is nobody's own wording
                     n = df[np.searchsorted(values, x.shingles)]
                     x.weights = np.where(n == 1, 1.0, 0.0)
+                    x.chars = np.zeros(len(n) + kind[1] - 1 if len(n) else 0)
+                    for i in range(kind[1]):
+                        x.chars[i : i + len(n)] = np.maximum(x.chars[i : i + len(n)], x.weights)
         self.tables = {}
         for kind in (DENSE, ALPHABETIC):
             prints, owner = [], []
             for at, x in enumerate(self.items):
                 if x.kind == kind:
-                    w = all_windows(texts[x.item_id], kind[0])
+                    # without own wording nothing is accepted, so nothing else is looked up
+                    w = np.unique(all_windows(texts[x.item_id], kind[0])[x.weights > 0])
                     prints.append(w)
                     owner.append(np.full(len(w), at, np.int64))
             prints, owner = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (prints, owner))
@@ -174,45 +179,31 @@ class Index:
             if s[-1] - s[0] + 1 > phrase:
                 inside[s[0] : s[-1] + 1] = True
         # characters count by the weight of the shingles over them
-        w = np.zeros(len(covered))
-        for i in range(k):
-            w[i : i + len(hit)] = np.maximum(w[i : i + len(hit)], x.weights)
-        total = w.sum()
-        own = np.zeros(len(covered), bool)
-        for i in range(k):
-            own[i : i + len(hit)] |= hit & (x.weights > 0)
+        total = x.chars.sum()
         # a stretch without any own wording is a shared phrase
-        return float(w[inside & (covered > 0)].sum() / total) if total and own.any() else 0.0
+        own = (hit & (x.weights > 0)).any()
+        return float(x.chars[inside & (covered > 0)].sum() / total) if total and own else 0.0
 
 
 def document_candidates(index: Index, docs: list[np.ndarray]) -> list[set[int]]:
     """Items near some window of each document."""
     found: list[set[int]] = [set() for _ in docs]
     hashes = [shingle_hashes(p, SHINGLE) for p in docs]
-    used = np.array([len(h) // STRIDE for h in hashes], np.int64)
-    if not used.sum():
+    doc_of = np.repeat(np.arange(len(docs)), [len(h) for h in hashes])
+    if not len(doc_of):
         return found
-    flat = np.concatenate([h[: u * STRIDE] for h, u in zip(hashes, used)])
-    doc_of = np.repeat(np.arange(len(docs)), used)
-    # bytes suffice: a window is far shorter than 255 characters
-    each = _bits(flat).reshape(len(doc_of), STRIDE, 64)
-    sums = each[:, 0].copy()
-    for i in range(1, STRIDE):
-        sums += each[:, i]
+    each = _bits(np.concatenate(hashes))
     for kind in (DENSE, ALPHABETIC):
-        steps = kind[0] // STRIDE
-        if len(sums) < steps:
-            continue
-        whole = doc_of[steps - 1 :] == doc_of[: len(doc_of) - steps + 1]
-        start = np.flatnonzero(whole)
-        if not len(start):
+        width = kind[0]
+        n = len(doc_of) - width + 1
+        if n <= 0 or not len(index.tables[kind][0]):
             continue
-        n = len(sums) - steps + 1
-        total = sums[:n].copy()
-        for i in range(1, steps):
-            total += sums[i : i + n]
-        prints = _fingerprints(total[start], kind[0])
-        w, item = index.candidates(prints, kind)
+        # bytes suffice: a window has far fewer than 255 shingles
+        total = each[:n].copy()
+        for i in range(1, width):
+            total += each[i : i + n]
+        start = np.flatnonzero(doc_of[width - 1 :] == doc_of[:n])
+        w, item = index.candidates(_fingerprints(total, width)[start], kind)
         for d, i in zip(doc_of[start[w]].tolist(), item.tolist()):
             found[d].add(i)
     return found

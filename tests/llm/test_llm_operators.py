@@ -254,6 +254,23 @@ def test_leaks(spark):
     assert leaks.find_leaks(d.limit(0), i).count() == 0 and leaks.find_leaks(d, i.limit(0)).count() == 0
 
 
+def test_changed_words_hide_no_leak():
+    rng = random.Random(9)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+    items = [(i, han(170)) for i in range(8)] + [(i, " ".join(word() for _ in range(90))) for i in range(8, 16)]
+    index = leaks.Index(items)
+    for step in (10, 15, 24, 30):
+        docs = [han(20) + "".join(c if i % (step + 2) < step else han(1) for i, c in enumerate(t)) for _, t in items[:8]]
+        docs += [" ".join(w if i % 9 < 8 else word() for i, w in enumerate(t.split())) for _, t in items[8:]]
+        docs += [t[60:60 + step] for _, t in items]
+        got = [{i for i, _ in h} for h in leaks.leaked(index, docs)]
+        # every pair verified, candidate or not
+        sets = [{k: np.unique(leaks.shingle_hashes(leaks.folded(d), k)) for k in (leaks.DENSE[1], leaks.ALPHABETIC[1])} for d in docs]
+        assert got == [{x.item_id for at, x in enumerate(index.items) if index.share(at, s[x.kind[1]]) >= leaks.SHARE} for s in sets]
+        assert all(i in h for (i, _), h in zip(items, got))
+
+
 def test_block_lookup_misses_none_within_the_radius():
     rng = np.random.default_rng(6)
     index = leaks.Index([(1, "".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 200)))])

@@ -79,13 +79,21 @@ def payload_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of a source's documents one after the other in id order, as length and digest of heads and ids."""
+    """Ids and lengths of a source's documents in id order, as a digest per block; ``report_texts`` holds the texts."""
     d = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "source", F.length("text").alias("n")).distinct()
     # a report line per document: a digest per slice of ids keeps any group small
     part = d.groupBy("source", F.floor(F.col("doc_id") / 512).alias("block")).agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "n"))), lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["n"].cast("string"))), "\n")).alias("digest"), F.count("*").alias("n_documents"))
     return part.withColumn("block", F.col("block").cast("long"))
 
 
+def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report itself: heads and whole texts of a source's documents in id order, one part per block of 512 ids."""
+    d = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "source", "text").distinct()
+    section = lambda x: F.concat(F.lit("## "), F.coalesce(x["doc_id"].cast("string"), F.lit("")), F.lit("\n\n"), x["text"], F.lit("\n\n---\n"))
+    part = d.groupBy("source", F.floor(F.col("doc_id") / 512).cast("long").alias("block")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("d"))
+    return part.select("source", "block", F.size("d").cast("long").alias("n_documents"), F.array_join(F.transform("d", section), "\n").alias("report"))
+
+
 def video_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Videos by optional conditions: those not given do not filter."""
     wanted = {"platform": "douyin", "author_name": None}
@@ -119,7 +127,8 @@ ORACLE = {
     "payload_levels": """WITH c AS (SELECT id, level, raw_json FROM comments QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, level DESC NULLS LAST) = 1)
         SELECT level, TRY_CAST(json_extract_string(CASE WHEN json_valid(raw_json) THEN raw_json END, '$.lv') AS INT) AS lv, count(*) AS n FROM c GROUP BY 1, 2""",
     "report_by_source": "WITH d AS (SELECT DISTINCT doc_id, source, length(text) AS n FROM documents WHERE text IS NOT NULL) SELECT source, CAST(floor(doc_id / 512) AS BIGINT) AS block, md5(string_agg(doc_id || ':' || n, chr(10) ORDER BY doc_id, n)) AS digest, count(*) AS n_documents FROM d GROUP BY 1, 2",
+    "report_texts": "WITH d AS (SELECT DISTINCT doc_id, source, text FROM documents WHERE text IS NOT NULL) SELECT source, CAST(floor(doc_id / 512) AS BIGINT) AS block, count(*) AS n_documents, string_agg('## ' || coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10), chr(10) ORDER BY doc_id NULLS FIRST, text) AS report FROM d GROUP BY 1, 2",
     "video_filter": f"WITH {SQL_VIDEOS} SELECT id FROM v WHERE lower(trim(platform)) = 'douyin'",
     "author_sources": f"WITH {SQL_COMMENTS} SELECT author_platform_id, count(*) AS n, round(count(*) FILTER (level = 2)::DOUBLE / count(*), 9) AS reply_share FROM c GROUP BY 1",
 }
-QUERIES = {f.__name__: f for f in (switch_tokens, positive_numbers, local_times, month_counts, first_tags, like_changes, slice_status, table_signatures, image_paths, payload_words, payload_levels, report_by_source, video_filter, author_sources)}
+QUERIES = {f.__name__: f for f in (switch_tokens, positive_numbers, local_times, month_counts, first_tags, like_changes, slice_status, table_signatures, image_paths, payload_words, payload_levels, report_by_source, report_texts, video_filter, author_sources)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,46 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_merged(parts: DataFrame, order: Sequence[str], text: str, path: str) -> None:
+    """Parts of one report as text; the files read one after the other by name give it in order."""
+    parts.orderBy(*order).select(text).write.mode("overwrite").text(path)
+
+
+def bundles(df: DataFrame, key: str, metadata: Mapping[str, str]) -> DataFrame:
+    """``json``, ``txt`` and ``md`` of each item.
+
+    ``metadata`` maps columns to their labels in the markdown; they are merged
+    into the JSON under that name. Besides ``text``, the columns audio_path,
+    segments (array of start, end, text) and raw_result are used if there.
+    """
+    strip = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\A\s+|\s+\z", "")
+    said = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    fields = [c for c in df.columns if c != key and c not in metadata]
+    if metadata:
+        fields.append(F.struct(*metadata).alias("metadata"))
+    as_json = lambda c: F.to_json(c, {"pretty": "true", "ignoreNullFields": "false"})
+    md = [F.lit("# 视频文本提取结果")]
+    if metadata:
+        md.append(F.concat_ws("\n", *(F.concat(F.lit(f"- {label}："), said(F.col(c))) for c, label in metadata.items())))
+    md += [F.lit("## 全文"), strip(F.col("text"))]
+    if "audio_path" in df.columns:
+        md.append(F.when(F.col("audio_path") != "", F.concat(F.lit("## 音频路径\n\n"), F.col("audio_path"))))
+    if "segments" in df.columns:
+        line = lambda x, i: F.concat((i + 1).cast("string"), F.lit(". ["), said(x["start"]), F.lit(" - "), said(x["end"]), F.lit("] "), strip(x["text"]))
+        md.append(F.when(F.size("segments") > 0, F.concat(F.lit("## 分段\n\n"), F.array_join(F.transform("segments", line), "\n"))))
+    if "raw_result" in df.columns:
+        raw = F.col("raw_result") if dict(df.dtypes)["raw_result"] == "string" else as_json(F.col("raw_result"))
+        md.append(F.when(raw != "", F.concat(F.lit("## 原始结果\n\n```json\n"), raw, F.lit("\n```"))))
+    return df.select(key, as_json(F.struct(*fields)).alias("json"), strip(F.col("text")).alias("txt"), F.concat_ws("\n\n", *md).alias("md"))
+
+
+def write_bundles(df: DataFrame, key: str, metadata: Mapping[str, str], path: str) -> None:
+    """Per format a folder, in it one of the key for each item with its whole text."""
+    out = bundles(df, key, metadata)
+    for kind in ("json", "txt", "md"):
+        out.select(key, kind).write.mode("overwrite").partitionBy(key).text(f"{path}/{kind}")
+
+
 def write_snapshot(df: DataFrame, folder: str, version: str, keep: int = 5) -> None:
     """A versioned snapshot and a copy called latest; all but the last versions are removed."""
     df.write.mode("overwrite").parquet(f"{folder}/archive/{version}")

@@ -1,10 +1,14 @@
 """Single-record functions and job bookkeeping."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import records as C
 from tallyloom.operators import jobs as J
+from tallyloom.plans import record_queries
+from tallyloom.sources import sinks
 
 
 def _one(spark, expr, *values, schema="t string"):
@@ -48,3 +52,30 @@ def test_jobs(spark):
     assert J.matching_job(jobs, ["a", "b"], False).first().id == 3
     left = iter([5, 3, 3])
     assert J.until_stable(lambda i: next(left)) == 3
+
+
+def _documents(spark, rows, folder) -> str:
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(folder / "documents.parquet"))
+    return str(folder)
+
+
+def test_report_holds_the_texts(spark, tmp_path):
+    a = _documents(spark, [(2, "乙\n二", "s"), (1, "甲", "s"), (600, "丙", "s"), (1, "甲", "s"), (3, None, "s")], tmp_path / "a")
+    b = _documents(spark, [(2, "丁\n二", "s"), (1, "甲", "s"), (600, "丙", "s")], tmp_path / "b")
+    got = {r.block: (r.n_documents, r.report) for r in record_queries.report_texts(spark, a).collect()}
+    assert got == {0: (2, "## 1\n\n甲\n\n---\n\n## 2\n\n乙\n二\n\n---\n"), 1: (1, "## 600\n\n丙\n\n---\n")}
+    assert got[0] != {r.block: (r.n_documents, r.report) for r in record_queries.report_texts(spark, b).collect()}[0]
+    sinks.write_merged(record_queries.report_texts(spark, a), ["source", "block"], "report", str(tmp_path / "r"))
+    assert "".join(f.read_text() for f in sorted((tmp_path / "r").glob("part-*"))) == got[0][1] + "\n" + got[1][1] + "\n"
+
+
+def test_bundle_of_three_formats(spark, tmp_path):
+    rows = [("v1", "  全文 ", "a.wav", [(0.0, 1.5, " 句 ")], None, "题", None), ("v2", None, None, [], '{"x": 1}', None, "丁")]
+    df = spark.createDataFrame(rows, "id string, text string, audio_path string, segments array<struct<start double, end double, text string>>, raw_result string, title string, author string")
+    sinks.write_bundles(df, "id", {"author": "作者", "title": "标题"}, str(tmp_path / "o"))
+    read = lambda kind, k: next((tmp_path / "o" / kind / f"id={k}").glob("part-*")).read_text()
+    assert read("txt", "v1") == "全文\n" and read("txt", "v2") == "\n"
+    assert read("md", "v1") == "# 视频文本提取结果\n\n- 作者：\n- 标题：题\n\n## 全文\n\n全文\n\n## 音频路径\n\na.wav\n\n## 分段\n\n1. [0.0 - 1.5] 句\n"
+    assert read("md", "v2") == '# 视频文本提取结果\n\n- 作者：丁\n- 标题：\n\n## 全文\n\n\n\n## 原始结果\n\n```json\n{"x": 1}\n```\n'
+    one = json.loads(read("json", "v1"))
+    assert one["text"] == "  全文 " and one["metadata"] == {"author": None, "title": "题"} and one["segments"] == [{"start": 0.0, "end": 1.5, "text": " 句 "}]

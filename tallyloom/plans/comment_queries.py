@@ -215,6 +215,33 @@ def lexicon_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_per_group(s, ["category"], [F.desc("similarity"), F.desc("term")], 20).select("category", "term", "similarity")
 
 
+def gram_frequency_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequency of Han 2-grams to 4-grams, at least 20, the 200 most frequent (a top-k report)."""
+    d = comments(spark, sf_dir).select(F.explode(X.ngrams(F.coalesce("text", F.lit("")), 2, 4)).alias("term"))
+    return d.groupBy("term").agg(F.count("*").alias("df")).filter("df >= 20").orderBy(F.desc("df"), "term").limit(200)
+
+
+def expanded_terms(texts: DataFrame, categories: dict[str, tuple[str, ...]], least: int = 20, top: int = 20) -> DataFrame:
+    """``category``, ``term``, ``similarity``: Han 2-grams to 4-grams of the texts ``t`` that go with the category's terms.
+
+    One aggregation counts a term's texts and those of each category among them.
+    """
+    d = texts.select("t", *(X.any_term(F.col("t"), v).cast("long").alias(f"in_{k}") for k, v in categories.items()))
+    seeds = [s for v in categories.values() for s in v]
+    co = d.select(F.explode(X.ngrams(F.col("t"), 2, 4)).alias("term"), *(f"in_{k}" for k in categories)).groupBy("term").agg(F.count("*").alias("df"), *(F.sum(f"in_{k}").alias(f"co_{k}") for k in categories))
+    co = co.filter(F.col("df") >= least).filter(~F.col("term").isin(*seeds))
+    n = d.agg(*(F.sum(f"in_{k}").alias(f"n_{k}") for k in categories))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("category"), F.col(f"co_{k}").alias("co"), F.col(f"n_{k}").alias("n_seed")) for k in categories)))
+    s = co.crossJoin(F.broadcast(n)).select("term", "df", each.alias("x")).select("term", "df", "x.*").filter("co > 0")
+    s = s.withColumn("similarity", F.round(F.col("co") / F.sqrt(F.col("df").cast("double") * F.col("n_seed")), 9)).filter("similarity > 0.08")
+    return top_per_group(s, ["category"], [F.desc("similarity"), F.desc("term")], top).select("category", "term", "similarity")
+
+
+def lexicon_expansion_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Han 2-grams to 4-grams that go with the lexicon's categories: co-occurrence over the root of both counts, the best 20 each."""
+    return expanded_terms(comments(spark, sf_dir).select(F.coalesce("text", F.lit("")).alias("t")), L.CATEGORIES)
+
+
 def mask_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comments with links, mentions and topics after masking."""
     t = X.mask_for_analysis(F.col("text"))
@@ -270,6 +297,7 @@ _LADDER = f"""WITH {SQL_VIDEOS}, {_TAGS}, q AS (SELECT id, list(DISTINCT tag) AS
     k AS (SELECT id, CASE WHEN rung IN (2, 3, 4) THEN CASE WHEN noise THEN 'review' ELSE 'keep' END ELSE 'drop' END AS decision, rung, noise_terms FROM d)"""
 _GRAM = "list_distinct(flatten(list_transform(regexp_extract_all(coalesce(text, ''), '[\\x{{4E00}}-\\x{{9FFF}}]+'), lambda x: {parts})))"
 _part = lambda n: f"(CASE WHEN length(x) >= {n} THEN list_transform(range(1, length(x) - {n} + 2), lambda i: substr(x, i, {n})) ELSE [] END)"
+_GRAMS = _GRAM.format(parts=" || ".join(_part(n) for n in (2, 3, 4)))
 
 ORACLE = {
     "video_anger_rollup": f"""WITH {SQL_COMMENTS}, {SQL_LABELS},
@@ -323,10 +351,17 @@ ORACLE = {
         n AS (SELECT category, count(*) AS n FROM k GROUP BY 1), co AS (SELECT category, term, count(*) AS co FROM (SELECT category, unnest(grams) AS term FROM k) GROUP BY 1, 2),
         s AS (SELECT category, term, round(co / sqrt(df::DOUBLE * n), 9) AS similarity FROM co JOIN df USING (term) JOIN n USING (category) WHERE term NOT IN ('法律', '条文', '封存', '评论区', '网上', '大家'))
         SELECT * FROM s WHERE similarity > 0.08 QUALIFY row_number() OVER (PARTITION BY category ORDER BY similarity DESC, term DESC) <= 20""",
+    "gram_frequency_whole": f"WITH {SQL_COMMENTS}, g AS (SELECT unnest({_GRAMS}) AS term FROM c) SELECT term, count(*) AS df FROM g GROUP BY 1 HAVING count(*) >= 20 ORDER BY df DESC, term LIMIT 200",
+    "lexicon_expansion_whole": f"""WITH {SQL_COMMENTS}, d AS (SELECT id, coalesce(text, '') AS t, {_GRAMS} AS grams FROM c),
+        df AS (SELECT term, count(*) AS df FROM (SELECT unnest(grams) AS term FROM d) GROUP BY 1 HAVING count(*) >= 20),
+        k AS ({" UNION ALL ".join(f"SELECT '{k}' AS category, grams FROM d WHERE {_any(v, 't')}" for k, v in L.CATEGORIES.items())}),
+        n AS (SELECT category, count(*) AS n FROM k GROUP BY 1), co AS (SELECT category, term, count(*) AS co FROM (SELECT category, unnest(grams) AS term FROM k) GROUP BY 1, 2),
+        s AS (SELECT category, term, round(co / sqrt(df::DOUBLE * n), 9) AS similarity FROM co JOIN df USING (term) JOIN n USING (category) WHERE term NOT IN ({", ".join(f"'{t}'" for t in _every)}))
+        SELECT * FROM s WHERE similarity > 0.08 QUALIFY row_number() OVER (PARTITION BY category ORDER BY similarity DESC, term DESC) <= 20""",
     "mask_counts": f"""WITH {SQL_COMMENTS} SELECT count(*) FILTER (regexp_matches(text, 'https?://\\S+|www\\.\\S+')) AS n_links,
         count(*) FILTER (regexp_matches(regexp_replace(text, 'https?://\\S+|www\\.\\S+', ' <URL> ', 'g'), '@[\\w\\x{{4E00}}-\\x{{9FFF}}_-]+')) AS n_mentions,
         count(*) FILTER (regexp_matches(regexp_replace(regexp_replace(text, 'https?://\\S+|www\\.\\S+', ' <URL> ', 'g'), '@[\\w\\x{{4E00}}-\\x{{9FFF}}_-]+', ' <MENTION> ', 'g'), '#[^#]+#')) AS n_topics FROM c""",
     "canonical_projection": "SELECT comment_row_id AS id, max(text_raw) AS raw_text, max(text_clean) AS clean_text, max(trim(platform_video_id)) AS video_id, max(parent_comment_id) AS parent_id, CAST(NULL AS VARCHAR) AS user_id, CAST(NULL AS DOUBLE) AS likes FROM comment_rows GROUP BY 1",
     "missing_fields": "SELECT unnest([" + ", ".join(f"{{'field': '{c}', 'null_share': round(1 - count({c})::DOUBLE / count(*), 9)}}" for c in ("comment_row_id", "video_id", "platform_video_id", "parent_comment_id", "level", "text_raw", "text_clean", "exported_at")) + "], recursive := true) FROM comment_rows",
 }
-QUERIES = {f.__name__: f for f in (video_anger_rollup, anger_share_by_source, comment_count_by_video, zero_comment_videos, zero_comment_having, clean_stats, dedup_keep_first, dedup_per_video, stable_ids, symbol_only_comments, sentiment_scores, video_polarization, polarity_pairs, category_stance, comment_trees, orphan_replies, parent_levels, videos_by_tag, tag_sets, curation_ladder, curation_counts, time_range_null_pass, gram_frequency, lexicon_expansion, mask_counts, canonical_projection, missing_fields)}
+QUERIES = {f.__name__: f for f in (video_anger_rollup, anger_share_by_source, comment_count_by_video, zero_comment_videos, zero_comment_having, clean_stats, dedup_keep_first, dedup_per_video, stable_ids, symbol_only_comments, sentiment_scores, video_polarization, polarity_pairs, category_stance, comment_trees, orphan_replies, parent_levels, videos_by_tag, tag_sets, curation_ladder, curation_counts, time_range_null_pass, gram_frequency, gram_frequency_whole, lexicon_expansion, lexicon_expansion_whole, mask_counts, canonical_projection, missing_fields)}

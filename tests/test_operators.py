@@ -12,6 +12,7 @@ from tallyloom.operators import rollups as R
 from tallyloom.operators import sampling as P
 from tallyloom.operators import sequences as S
 from tallyloom.operators import stats as T
+from tallyloom.plans.comment_queries import expanded_terms
 from tallyloom.plans.timeline_queries import fuzzy_chunks, picture_hash, sharpness
 from tallyloom.sources import ingest, sinks
 from tallyloom.streaming import streams
@@ -171,3 +172,28 @@ def test_upsert_stream(spark, tmp_path):
         streams.tail(spark, src, schema).writeStream.foreachBatch(streams.upsert(out, ["k"], ["ver"])).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     last = sorted(x for x in os.listdir(out) if x.startswith("batch="))[-1]
     assert {(r.k, r.x) for r in spark.read.parquet(f"{out}/{last}").collect()} == {(1, "c"), (2, "b")}
+
+
+def test_expansion_reaches_four_characters(spark):
+    texts = ["法律援助中心来了", "法律援助中心好", "讲权利也讲援助中心", "法律", "权利abc援助", "", "无关的话"] * 3
+    cats = {"state": ("法律", "零容忍"), "freedom": ("权利",)}
+    grams = [{t[i : i + n] for t in "".join(c if "\u4e00" <= c <= "\u9fff" else " " for c in x).split() for n in (2, 3, 4) for i in range(len(t) - n + 1)} for x in texts]
+    want = set()
+    for k, v in cats.items():
+        hit = [any(s in x for s in v) for x in texts]
+        for g in set().union(*grams) - {s for v in cats.values() for s in v}:
+            df, co = sum(g in x for x in grams), sum(g in x and h for x, h in zip(grams, hit))
+            if df >= 4 and co and co / (df * sum(hit)) ** 0.5 > 0.08:
+                want.add((k, g, round(co / (df * sum(hit)) ** 0.5, 9)))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {tuple(r) for r in expanded_terms(df, cats, least=4, top=1000).collect()}
+    assert got == want and {len(t) for _, t, _ in got} == {2, 3, 4}
+
+
+def test_named_gram_queries_count_four_characters(spark, tmp_path):
+    from tallyloom.plans import comment_queries as Q
+
+    rows = [(i, 1, 1, "援助中心讲法律", 0, None) for i in range(25)]
+    spark.createDataFrame(rows, "id long, video_id long, level int, text string, like_count long, updated_at timestamp").write.parquet(str(tmp_path / "comments.parquet"))
+    assert ("援助中心", 25) in {tuple(r) for r in Q.gram_frequency_whole(spark, str(tmp_path)).collect()}
+    assert ("state", "援助中心", 1.0) in {tuple(r) for r in Q.lexicon_expansion_whole(spark, str(tmp_path)).collect()}

@@ -51,6 +51,7 @@ _MARKED = re.compile(rf"[{_MARK}][ \t]*\n")
 _LATIN_TEXT = re.compile("[a-zà-ÿ]", re.I)
 _TIMING = re.compile(r"^\s*(\d+\s*\n)?\s*\d{1,2}:\d{2}(:\d{2})?[.,]\d{1,3}\s*-->.*$", re.M)
 _WORD = re.compile(r"[a-zà-öø-ÿ0-9]+(?:-[a-zà-öø-ÿ0-9]+)*")
+_PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9]+")
 _IDEOGRAPH = "一-鿿"
 _HAN_CHAR = re.compile(f"[{_IDEOGRAPH}]")
 _BRACKETED = re.compile(r"[(（].*?[)）]")
@@ -269,12 +270,28 @@ def decisions(counts: DataFrame) -> DataFrame:
     return fix.unionByName(keep)
 
 
+def _paragraphs(body: str, by) -> Iterator[str]:
+    """Paragraphs of one line, split words joined as given."""
+    for para in re.split(r"\n\s*\n", _unbroken(body, by)):
+        # Han lines join without a space, others with one
+        t = re.sub(rf"(?<=[{_IDEOGRAPH}，。、；：！？”》）0-9,;:!?)])[ \t]*\n[ \t]*(?=[{_IDEOGRAPH}“《（，。0-9,;:!?(])", "", para.strip())
+        yield re.sub(r"\s*\n\s*", " ", t)
+
+
 def tokens(text: str) -> set[str]:
-    """Forms of a text that a decision may be about."""
+    """Forms of a text that a decision may be about: all that noise_kinds and repair look up."""
     body = Page(text).body()
     out = {"w:" + c for _, _, c in _compounds(body)}
-    out.update("w:" + w for w in _WORD.findall(_unbroken(body, " ").lower()) if alternatives(w))
-    out.update("t:" + g for _, g in _trigrams(_han_text(body)) if g[1] in _HAN)
+    words = set(_WORD.findall(_unbroken(body, lambda m: m[1] + m[3] + "\n").lower()))
+    grams = {g for _, g in _trigrams(_han_text(body))}
+    # a split word may be joined with its mark or without
+    for by in (lambda m: m[1] + m[3], lambda m: m[1] + "-" + m[3]):
+        for t in _paragraphs(body, by):
+            words.update(w.lower() for w in _PART.findall(t))
+            if _han_line(t):
+                grams.update(g for _, g in _trigrams(t))
+    out.update("w:" + w for w in words if alternatives(w))
+    out.update("t:" + g for g in grams if g[1] in _HAN)
     return out
 
 
@@ -317,10 +334,7 @@ def repair(text: str | None, decided: dict[str, str]) -> str | None:
         return alt[2:].upper() if m[0].isupper() and len(m[0]) > 2 else alt[2:3].upper() + alt[3:] if m[0][:1].isupper() else alt[2:]
 
     out = []
-    for para in re.split(r"\n\s*\n", _unbroken(Page(text).body(), joined)):
-        # Han lines join without a space, others with one
-        t = re.sub(rf"(?<=[{_IDEOGRAPH}，。、；：！？”》）0-9,;:!?)])[ \t]*\n[ \t]*(?=[{_IDEOGRAPH}“《（，。0-9,;:!?(])", "", para.strip())
-        t = re.sub(r"\s*\n\s*", " ", t)
+    for t in _paragraphs(Page(text).body(), joined):
         if _han_line(t):
             chars = list(t)
             for i, g in _trigrams(t):
@@ -329,7 +343,7 @@ def repair(text: str | None, decided: dict[str, str]) -> str | None:
                     chars[i] = alt[3]
             # marks beside Han characters are full-width
             t = re.sub(rf"(?<=[{_IDEOGRAPH}”》])[,;:!?(]|(?<=[0-9])[,;:!?](?=[{_IDEOGRAPH}])|[)](?=[{_IDEOGRAPH}，。])|(?<=[{_IDEOGRAPH}])[)]", lambda m: chr(ord(m[0]) + 0xFEE0), "".join(chars))
-        t = re.sub(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9]+", word, t)
+        t = _PART.sub(word, t)
         if t:
             out.append(t)
     return "\n\n".join(out)

@@ -92,6 +92,40 @@ def test_scan_table_both_ways(spark):
     assert scans.find_noise(df.limit(0)).count() == 0
 
 
+class _Asked(dict):
+    """Decides nothing and notes what it is asked."""
+
+    def __init__(self):
+        self.keys_asked = set()
+
+    def get(self, key, default=None):
+        self.keys_asked.add(key)
+        return default
+
+    def __contains__(self, key):
+        self.keys_asked.add(key)
+        return False
+
+
+@pytest.mark.parametrize("text", ["the nurn-\nber of a nurnber-based list", "前文。\n\n入点头。\n入口abc\n入点", "a long-\nterrn plan\n\nclirnb-down", SCAN])
+def test_tokens_hold_all_that_is_looked_up(text):
+    asked = _Asked()
+    scans.noise_kinds(text, asked)
+    scans.repair(text, asked)
+    own = scans.tokens(text)
+    # words without another reading and signs nobody confuses are never put right
+    assert {k for k in asked.keys_asked if (k[3] in scans._HAN if k[0] == "t" else scans.alternatives(k[2:]))} <= own
+
+
+def test_misread_inside_a_broken_word_both_ways(spark):
+    clean = "the number of people asked about it, and the office closed at noon again"
+    rows = [(i, f"{clean} number {i}", None, None, None) for i in range(30)] + [(100, "the nurnber of people asked", None, None, None), (101, "the nurn-\nber of people asked", "a nurnber-based list", None, None)]
+    df = spark.createDataFrame(rows, "text_record_id long, ocr_text string, subtitle_text string, transcript_text string, title_text string")
+    for most in (scans.MOST_SENT, 0):
+        assert {(r.field, r.noise_kind) for r in scans.find_noise(df, most=most).filter("text_record_id = 101").collect()} >= {("ocr_text", "misread"), ("ocr_text", "hyphen_break")}
+        assert {r.text for r in scans.repair_texts(df, most=most).filter("text_record_id = 101").collect()} == {"the number of people asked", "a number-based list"}
+
+
 # ---- p3 ----
 
 

@@ -121,7 +121,7 @@ class Page:
         for i, x in enumerate(self.lines):
             s = x.strip()
             # most lines have a mark of a sentence in them
-            if self.kind[i] != "body" or not 2 <= len(s) <= 60 or _SENTENCE.search(_BRACKETED.sub("", s) if s[-1] in ")）" else s):
+            if self.kind[i] != "body" or not 2 <= len(s) <= 60 or _SENTENCE.search(_BRACKETED.sub("", s) if "(" in s or "（" in s else s):
                 continue
             before = next((k for k in range(i - 1, -1, -1) if self.kind[k] != "number"), None)
             after = next((k for k in range(i + 1, len(self.lines)) if self.kind[k] != "number"), None)

@@ -92,6 +92,11 @@ def test_scan_table_both_ways(spark):
     assert scans.find_noise(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("header", ["Report (No. 5) Annex", "通报（第二，三号）附件"])
+def test_header_with_a_mark_inside_brackets(header):
+    assert scans.noise_kinds(f"{header}\nThe clip drew replies.\n\f{header}\nIt closed at noon.\n", {}) == {"running_header"}
+
+
 class _Asked(dict):
     """Decides nothing and notes what it is asked."""
 

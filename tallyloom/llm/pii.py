@@ -1,8 +1,9 @@
 """Personal information in free text: find it, replace it by typed placeholders.
 
 An Aho-Corasick automaton finds anchors (at-signs, URL schemes, digits, road
-words, cues that announce a number, a place or a person). Around an anchor a
-deterministic parser for its kind expands to the full span and validates it.
+words, cues that announce a number, a place or a person). It is a prefilter:
+only the kinds met count, and regexes per kind then scan the whole text for
+the full spans and validate them.
 Parsing runs on a folded view of the text with a map back to the original
 positions, so full-width forms, look-alike letters and invisible characters
 hide nothing, and all else of the text stays as it is.

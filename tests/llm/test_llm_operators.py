@@ -349,3 +349,18 @@ def test_cuts_at_a_limit(spark):
     rates = {r.source: (r.n_documents, r.n_cut) for r in cuts.cut_rates(df).collect()}
     assert rates[""] == (1, 1) and rates["free"] == (301, 0)
     assert cuts.find_cuts(df.limit(0)).count() == 0
+
+
+def test_long_last_token_is_read_whole(spark):
+    df = spark.createDataFrame([("见 https://example.com/" + "a/" * 200 + "\n",), ("说完了 #" + "话题" * 120,), ("see https://example.com/" + "b" * 300 + " and the",)], "t string")
+    assert [r[0] for r in df.select(cuts.ending(F.col("t"))).collect()] == ["link", "tag", "open"]
+
+
+def test_rules_of_a_cut(spark):
+    # 300 texts reach 120 bytes, 60 of them were cut there, a third of these inside a character
+    rows = [(i, "字" * (40 - i % 2) + ("�" if i % 2 else ""), "s") for i in range(60)]
+    rows += [(100 + i, "完" * (30 + i % 60) + "。", "s") for i in range(240)]
+    rows += [(900, "停在半路，因为", "s"), (901, None, "s"), (None, "停在半", "s"), (902, "  ", None), (903, "一句话。", None)]
+    got = {r.doc_id: r.rule for r in cuts.find_cuts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {i: got.get(i) for i in range(60)} == {i: "limit" for i in range(60)} and got[900] == "transfer"
+    assert not set(got) & set(range(100, 340)) and not set(got) & {901, 902, 903}

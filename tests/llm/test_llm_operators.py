@@ -293,27 +293,65 @@ def test_leaks(spark):
     assert leaks.find_leaks(d.limit(0), i).count() == 0 and leaks.find_leaks(d, i.limit(0)).count() == 0
 
 
-def test_changed_words_hide_no_leak():
+def _han(rng, n):
+    return "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+
+
+def _words(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(n))
+
+
+def _index(texts):
+    """An index without shared shingles."""
+    return leaks.Index([(str(i), leaks.folded(t), {}) for i, t in enumerate(texts)])
+
+
+def test_candidates_hold_every_pair_that_verifies():
     rng = random.Random(9)
-    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
-    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
-    items = [(i, han(170)) for i in range(8)] + [(i, " ".join(word() for _ in range(90))) for i in range(8, 16)]
-    index = leaks.Index(items)
-    for step in (10, 15, 24, 30):
-        docs = [han(20) + "".join(c if i % (step + 2) < step else han(1) for i, c in enumerate(t)) for _, t in items[:8]]
-        docs += [" ".join(w if i % 9 < 8 else word() for i, w in enumerate(t.split())) for _, t in items[8:]]
-        docs += [t[60:60 + step] for _, t in items]
-        got = [{i for i, _ in h} for h in leaks.leaked(index, docs)]
-        # every pair verified, candidate or not
-        sets = [{k: np.unique(leaks.shingle_hashes(leaks.folded(d), k)) for k in (leaks.DENSE[1], leaks.ALPHABETIC[1])} for d in docs]
-        assert got == [{x.item_id for at, x in enumerate(index.items) if index.share(at, s[x.kind[1]]) >= leaks.SHARE} for s in sets]
-        assert all(i in h for (i, _), h in zip(items, got))
+    texts = [_han(rng, n) for n in (20, 33, 60, 170)] + [_words(rng, n) for n in (4, 12, 24, 90)]
+    index = _index(texts)
+    docs = []
+    for step in (4, 8, 15, 24):
+        docs += [_han(rng, 20) + "".join(c if i % (step + 2) < step else _han(rng, 1) for i, c in enumerate(t)) for t in texts[:4]]
+        docs += [" ".join(w if i % step else _words(rng, 1) for i, w in enumerate(t.split())) for t in texts[4:]]
+        docs += [t[step : step * 4] for t in texts]
+    points = [leaks.folded(d) for d in docs]
+    got = [{i for i, _ in h} for h in leaks.leaked(index, points)]
+    ks = {x.kind[0] for x in index.items}
+    sets = [{k: np.unique(leaks.shingle_hashes(p, k)) for k in ks} for p in points]
+    assert got == [{x.key for at, x in enumerate(index.items) if index.share(at, s[x.kind[0]]) >= leaks.SHARE} for s in sets]
+    assert all(str(i) in h for i, h in zip(range(8), got[48:56]))
+
+
+def test_long_documents_are_read_piece_by_piece(monkeypatch):
+    rng = random.Random(12)
+    texts = [_han(rng, 60), _words(rng, 30)]
+    index = _index(texts)
+    docs = [leaks.folded(_han(rng, 700) + texts[0] + _han(rng, 300)), leaks.folded(texts[1] + _words(rng, 200))]
+    whole = leaks.leaked(index, docs)
+    assert [[i for i, _ in h] for h in whole] == [["0"], ["1"]]
+    monkeypatch.setattr(leaks, "STEP_CHARS", 7)
+    monkeypatch.setattr(leaks, "STEP_PAIRS", 3)
+    assert leaks.leaked(index, docs) == whole
+
+
+def test_leaks_whatever_the_parts(spark):
+    rng = random.Random(5)
+    a, b, c = _han(rng, 100), _han(rng, 100), _han(rng, 100)
+    # 1 and 2 share half their wording, 3 and 4 are equal but for width and case, 5 is short
+    items = [(1, a + b), (2, b + c), (3, "Ａ" + _words(random.Random(1), 40)), (4, "a" + _words(random.Random(1), 40).upper()), (5, "the quick brown fox jumps over the lazy dog now"), (6, _han(rng, 20)), (5, _words(rng, 50))]
+    docs = [(1, b), (2, a + b), (3, "x " + items[2][1][1:]), (4, "He said the quick brown fox jumps over the lazy dog."), (5, _han(rng, 9) + items[5][1] + _han(rng, 30)), (6, items[6][1][:200]), (7, _han(rng, 300))]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")
+    one = {(r.doc_id, r.item_id, round(r.share, 9)) for r in leaks.find_leaks(d, i).collect()}
+    many = {(r.doc_id, r.item_id, round(r.share, 9)) for r in leaks.find_leaks(d, i, part_chars=50).collect()}
+    assert one == many
+    assert {(x, y) for x, y, _ in one} == {(2, 1), (3, 3), (3, 4), (4, 5), (5, 6), (6, 5)}
 
 
 def test_block_lookup_misses_none_within_the_radius():
     rng = np.random.default_rng(6)
-    index = leaks.Index([(1, "".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 200)))])
-    known = index.tables[leaks.DENSE][0]
+    index = _index(["".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 200))])
+    known = index.tables[6][0]
     prints = []
     for k in range(400):
         p = int(known[k % len(known)])
@@ -321,9 +359,8 @@ def test_block_lookup_misses_none_within_the_radius():
             p ^= 1 << int(b)
         prints.append(p)
     prints = np.array(prints, np.uint64)
-    w, _ = index.candidates(prints, leaks.DENSE)
-    near = {i for i, p in enumerate(prints) if (np.bitwise_count(known ^ p) <= leaks.RADIUS).any()}
-    assert set(w.tolist()) == near
+    got = {i for w, _ in index.candidates(prints, 6) for i in w.tolist()}
+    assert got == {i for i, p in enumerate(prints) if (np.bitwise_count(known ^ p) <= leaks.RADIUS).any()}
 
 
 # ---- p10 ----

@@ -94,7 +94,44 @@ def test_no_site_keeps_the_source_order_and_empty_table(spark):
     assert _read(spark, [(None, None, None)]) == [None]
 
 
+def test_path_decides_whatever_the_blocks(spark, monkeypatch):
+    """Without a site's rules; the same path for every cut, and that of the whole sequence."""
+    import random
+
+    monkeypatch.setattr(I, "GROUP_BLOCKS", 3)
+    rng = random.Random(8)
+    rows, day = [], datetime(2026, 1, 1)
+    for i in range(240):
+        day += timedelta(hours=rng.randrange(2, 40))
+        # the second source has no value with one reading
+        src = "b" if i % 3 else "a"
+        fmt = rng.choice(["%d/%m/%Y %H:%M", "%m/%d/%Y %H:%M", "%d.%m.%Y %H:%M"])
+        d = day.day % 12 + 1
+        shown = day.replace(day=d % 12 + 1 if d == day.month else d) if src == "b" or i % 5 else day
+        rows.append((f"{i:03d}", shown.strftime(fmt), src, i))
+    df = spark.createDataFrame(rows, "id string, value string, src string, n long")
+    args = [F.col("id"), F.col("value"), F.col("src"), F.col("n"), F.lit(None).cast("string"), F.lit(None).cast("string")]
+    got = [{r.record_id: r.epoch_ms for r in I.normalize_instants(df, *args, span).collect()} for span in (5, 17, 100_000)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+    read = {r.id: r.readings for r in I.with_readings(df.select("id", "value", F.lit(None).cast("string").alias("tz"), F.lit(None).cast("string").alias("date_order"))).select("id", "readings").collect()}
+    assert min(len(read[i]) for i, _, s, _ in rows if s == "b") > 1
+    for src in "ab":
+        own = [i for i, _, s, _ in rows if s == src]
+        options = [I._useful(i, read[i]) for i in own]
+        assert [o[k][1] for o, k in zip(options, I.choose(options))] == [got[0][i] for i in own]
+
+
+def test_every_reading_is_there_and_rules_cost(spark):
+    df = spark.createDataFrame([("03/02/2026 10:00", "UTC", "dmy"), ("1771985208", "UTC", "ymd"), ("2025-10-26 02:30:00", "Europe/Berlin", "dmy"), ("Jan 17, 2026 07:25 CST", "Asia/Shanghai", "ymd")], "value string, tz string, date_order string")
+    got = {r.value: [(x.fmt, x.cost) for x in r.readings] for r in I.with_readings(df).collect()}
+    rule = I.AGAINST_RULE
+    assert got["03/02/2026 10:00"] == [("dmy", 0.0), ("mdy", rule)]
+    assert got["1771985208"] == [("epoch_s", 0.0), ("epoch_ms", rule), ("epoch_us", rule), ("epoch_ns", rule)]
+    assert got["2025-10-26 02:30:00"] == [("iso", 0.0), ("iso", rule)]
+    assert got["Jan 17, 2026 07:25 CST"] == [("named", 0.0), ("named", rule)]
+
+
 def test_repeats_count_once_and_clashing_columns(spark):
     df = spark.createDataFrame([("1", "1771985208", "x", "y"), ("1", "1771985208", "x", "y"), (None, "1771985208", "x", "y")], "record_id string, value string, at string, s string")
     out = I.normalize_instants(df, F.col("record_id"), F.col("value"), F.lit("src"), F.lit(1), F.lit("UTC"), F.lit("ymd"), 10)
-    assert [tuple(r) for r in out.collect()] == [("1", 1771985208000)]
+    assert [tuple(r) for r in out.collect()] == [("1", 1771985208000, 4)]

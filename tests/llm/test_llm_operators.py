@@ -38,6 +38,17 @@ PII = [
     ("司徒砚野本人也在看，实名举报骆岫", {"person_name"}),
     ("樊老师讲得比岳律师细，@纸飞机0423", set()),
     ("regards, Odalys Thackmoor, ask for Old Mill Street", {"person_name"}),
+    ("Margaret Thornton phoned me yesterday", {"person_name"}),
+    ("联系王小明吧", {"person_name"}),
+    ("联系方式见主页，高速路口在修", set()),
+    ("My name is José García", {"person_name"}),
+    ("reach John Smith on Monday", {"person_name"}),
+    ("her passport is X1234567", {"id_number"}),
+    ("见 11010519491231002X，另一个 110105194912310021 不对", {"id_number"}),
+    ("编号里的 110105194912310021", set()),
+    ("12 rue de Rivoli, Paris", {"street_address"}),
+    ("er wohnt Hauptstraße 5", {"street_address"}),
+    ("New York who called, The Old Mill Road is closed", set()),
     ("", set()),
     (None, set()),
 ]
@@ -57,12 +68,19 @@ def test_redaction_keeps_all_else():
     assert pii.redact(None) is None and pii.redact(LONG) == LONG
 
 
+def test_long_parts_leave_nothing_behind():
+    local, host = "a." * 90 + "b", ".".join(["host"] * 60) + ".example.com"
+    assert pii.redact(f"写信 {local}@{host} 即可") == "写信 [EMAIL] 即可"
+    assert pii.redact("电话" + " " * 60 + "5551234") == "电话" + " " * 60 + "[PHONE]"
+
+
 def test_pii_table(spark):
     rows = [("comments", "1", "电话15408636415", "x"), ("comments", "1", "电话15408636415", "y"), ("comments", None, "电话15408636415", "z"), ("comments", "2", None, "z"), ("comments", "3", LONG, "z")]
     df = spark.createDataFrame(rows, "record_table string, record_id string, text string, pii_kind string")
     assert [tuple(r) for r in pii.find_pii(df).collect()] == [("comments", "1", "phone")]
     assert pii.find_pii(df.limit(0)).count() == 0
-    assert pii.redact_texts(df).count() == 4
+    more = df.unionByName(spark.createDataFrame([("comments", None, "写信到 a1@b.cc", "z"), ("comments", "2", "第二段", "z")], df.schema))
+    assert sorted((r.record_id or "-", r.text or "-") for r in pii.redact_texts(more).collect()) == [("-", "写信到 [EMAIL]"), ("-", "电话[PHONE]"), ("1", "电话[PHONE]"), ("2", "-"), ("2", "第二段"), ("3", LONG)]
 
 
 # ---- p2 ----

@@ -22,13 +22,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.session import checkpointed
+
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the public pre-tokenizer pattern of this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Remembered parts of a worker before it starts afresh; bounds its memory.
 REMEMBER = 400_000
-_NONE = np.int64(1 << 40)
+#: No pair: above every id, and so small that rank and place share 63 bits for any string.
+_NONE = np.int64(1 << 31)
+#: Repeated keys that are broadcast at most, and characters encoded in one step.
+MOST_REPEATED, STEP_CHARS = 1_000_000, 2_000_000
 
 
 def load_ranks(folder: str = TOKENIZERS, name: str = VOCABULARY) -> dict[bytes, int]:
@@ -229,12 +234,16 @@ def _pattern():
     return _compiled
 
 
-def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
+def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, name: str = VOCABULARY, most: int = MOST_REPEATED) -> DataFrame:
     """``key`` and ``ids`` (array of int) of each document, whole text.
 
-    NULL and empty texts give an empty list. A key delivered more than once
-    comes out once, with the greatest of its texts. Rows with a NULL key are
-    one document. Extra columns are not read.
+    NULL and empty texts give an empty list. Every row is encoded; rows that
+    come out equal are one. So a key delivered again comes out once, and
+    different texts under one key, or under a NULL key, all come out. Extra
+    columns are not read. An empty table gives no row.
+
+    Only rows whose key is repeated are shuffled. Their keys are broadcast up
+    to ``most`` of them, and joined beyond that.
     """
     # a vocabulary file has a fixed size, here about a megabyte
     ranks = documents.sparkSession.sparkContext.broadcast(load_ranks(folder, name))
@@ -243,12 +252,28 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(f"{folder}/{name}", ranks.value)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                ids = encoder.encode(part.column(1).to_pylist())
+            texts = b.column(1).to_pylist()
+            # steps of bounded length, whatever the documents' lengths
+            ends, held = [0], 0
+            for i, t in enumerate(texts):
+                held += len(t or "")
+                if held > STEP_CHARS or i - ends[-1] >= 500:
+                    ends.append(i + 1)
+                    held = 0
+            if ends[-1] < len(texts):
+                ends.append(len(texts))
+            for at, end in zip(ends, ends[1:]):
+                ids = encoder.encode(texts[at:end])
                 flat = np.fromiter((i for x in ids for i in x), np.int32)
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))], names=[key, "ids"])
-
-    once = documents.groupBy(key).agg(F.max(text).alias(text))
-    return once.mapInArrow(run, f"{key} {kind.simpleString()}, ids array<int>")
+                offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))], names=[key, "ids"])
+
+    rows = documents.select(key, F.col(text).cast("string").alias(text))
+    repeated = checkpointed(rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(F.col(key).alias("repeated_key")))
+    if repeated.count() <= most:
+        repeated = F.broadcast(repeated)
+    same = rows[key].eqNullSafe(repeated["repeated_key"])
+    schema = f"{key} {kind.simpleString()}, ids array<int>"
+    once = rows.join(repeated, same, "left_anti").mapInArrow(run, schema)
+    again = rows.join(repeated, same, "left_semi").mapInArrow(run, schema).distinct()
+    return once.unionByName(again)

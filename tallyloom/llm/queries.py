@@ -63,20 +63,31 @@ def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.repair_texts(table(spark, sf_dir, "text_records"))
 
 
+def _look_keys(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
+    comments, records = table(spark, sf_dir, "comments"), table(spark, sf_dir, "text_records")
+    return [
+        ("comments", canon.look_keys(comments, F.col("id"), F.col("video_id"), F.col("text"))),
+        ("text_records", canon.look_keys(records, F.col("text_record_id"), video_key(F.col("video_id")), F.col("ocr_text"))),
+    ]
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records of one video whose texts look the same but differ."""
-    comments, records = table(spark, sf_dir, "comments"), table(spark, sf_dir, "text_records")
-    a = canon.same_looks(comments, F.col("id"), F.col("video_id"), F.col("text"))
-    b = canon.same_looks(records, F.col("text_record_id"), video_key(F.col("video_id")), F.col("ocr_text"))
-    return a.select(F.lit("comments").alias("record_table"), "*").unionByName(b.select(F.lit("text_records").alias("record_table"), "*"))
+    a, b = (canon.same_looks(k).select(F.lit(name).alias("record_table"), "*") for name, k in _look_keys(spark, sf_dir))
+    return a.unionByName(b)
+
+
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of one video whose texts look like another's, with their class."""
+    a, b = (canon.look_classes(k).select(F.lit(name).alias("record_table"), "*") for name, k in _look_keys(spark, sf_dir))
+    return a.unionByName(b)
 
 
 def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text of both tables in its one form."""
+    """Every text of both tables in its one form; rows that come out equal once."""
     a = table(spark, sf_dir, "comments").select(F.lit("comments").alias("record_table"), F.col("id"), F.col("text"))
     b = table(spark, sf_dir, "text_records").select(F.lit("text_records").alias("record_table"), F.col("text_record_id").alias("id"), F.col("ocr_text").alias("text"))
-    once = a.unionByName(b).groupBy("record_table", "id").agg(F.max("text").alias("text"))
-    return canon.with_canonical(once, "text", "canonical", ["record_table", "id"])
+    return canon.with_canonical(a.unionByName(b), "text", "canonical", ["record_table", "id"], canon.one_form).distinct()
 
 
 def _comment_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,11 +96,13 @@ def _comment_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def _model(spark: SparkSession, sf_dir: str):
+    return abuse.train(*abuse.labelled_sample(table(spark, sf_dir, "abuse_labels"), _comment_texts(spark, sf_dir)))
+
+
 def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every comment of both tables."""
-    texts = _comment_texts(spark, sf_dir)
-    model = abuse.train(*abuse.labelled_sample(table(spark, sf_dir, "abuse_labels"), texts))
-    return abuse.score(texts, model)
+    return abuse.score(_comment_texts(spark, sf_dir), _model(spark, sf_dir))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +113,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of abusive comments per source."""
     comments = table(spark, sf_dir, "comments").select(F.col("id").cast("string").alias("record_id"), "source").groupBy("record_id").agg(F.min("source").alias("source"))
-    scored = p7_scores(spark, sf_dir).filter("record_table = 'comments'")
+    # filtered before scoring: the other table is read for the labels only
+    scored = abuse.score(_comment_texts(spark, sf_dir).filter("record_table = 'comments'"), _model(spark, sf_dir))
     both = comments.join(scored, "record_id").groupBy("source").agg(F.count("*").alias("n_comments"), F.sum((F.col("score") >= abuse.THRESHOLD).cast("int")).alias("n_abusive"))
     return both.withColumn("share_abusive", F.round(F.col("n_abusive") / F.col("n_comments"), 6))
 
@@ -131,4 +145,4 @@ ORACLE = {
     "p6_found": "SELECT video_id, first_segment_index, last_segment_index FROM (" + _RUNS.format(more="count(*) AS c", having="HAVING count(*) > 1") + ")",
     "p6_runs": _RUNS.format(more="count(*) AS slice_count, min(start_second) AS start_second, max(end_second) AS end_second, round(max(end_second) - min(start_second), 3) AS duration_seconds", having=""),
 }
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_repaired": p2_repaired, "p6_found": p6_found, "p6_runs": p6_runs, "p3_found": p3_found, "p3_canonical": p3_canonical, "p7_found": p7_found, "p7_scores": p7_scores, "p7_rates": p7_rates, "p10_found": p10_found, "p10_rates": p10_rates, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_repaired": p2_repaired, "p6_found": p6_found, "p6_runs": p6_runs, "p3_found": p3_found, "p3_classes": p3_classes, "p3_canonical": p3_canonical, "p7_found": p7_found, "p7_scores": p7_scores, "p7_rates": p7_rates, "p10_found": p10_found, "p10_rates": p10_rates, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items}

@@ -125,7 +125,10 @@ def collapse_runs(slices: DataFrame, bits: int = 8, gap: float = 1.0, block: int
     half = lambda at: F.conv(F.substring(digits, at, 8), 16, 10).cast("long")
     h = F.when(F.length(digits) == 16, F.shiftleft(half(1), 32).bitwiseOR(half(9)))
     rows = slices.select(video_key(F.col("video_id")).alias("video_id"), "run_name", "segment_index", F.col("start_second").cast("double").alias("start_second"), F.col("end_second").cast("double").alias("end_second"), h.alias("h"))
-    rows = rows.filter("video_id is not null and run_name is not null and segment_index is not null").withColumn("block", F.floor(F.col("segment_index") / F.lit(block)).cast("long"))
+    rows = rows.filter("video_id is not null and run_name is not null and segment_index is not null")
+    # the latest run of each video first: what earlier runs hold is neither sorted nor matched
+    latest = rows.groupBy("video_id").agg(F.max("run_name").alias("run_name"))
+    rows = rows.join(latest, ["video_id", "run_name"], "left_semi").withColumn("block", F.floor(F.col("segment_index") / F.lit(block)).cast("long"))
     ordered = rows.repartition("video_id", "run_name", "block").sortWithinPartitions("video_id", "run_name", "block", "segment_index", "start_second", "end_second", "h")
     # runs only, read three times below
     parts = checkpointed(ordered.mapInArrow(block_runs(bits, gap, singles), _OUT))
@@ -137,9 +140,7 @@ def collapse_runs(slices: DataFrame, bits: int = 8, gap: float = 1.0, block: int
     edge = parts.filter("at_head or at_tail").withColumn("n", F.sum(F.when(joins, 0).otherwise(1)).over(w))
     edge = edge.groupBy("video_id", "run_name", "n").agg(F.min("first_segment_index").alias("first_segment_index"), F.max("last_segment_index").alias("last_segment_index"), F.sum("slice_count").alias("slice_count"), F.min("start_second").alias("start_second"), F.max("end_second").alias("end_second")).drop("n")
     inner = parts.filter("not at_head and not at_tail").select(*edge.columns)
-    # the latest run of each video, from one row per block at most
-    latest = parts.groupBy("video_id").agg(F.max("run_name").alias("run_name"))
     every = edge.unionByName(inner)
     if not singles:
         every = every.filter("slice_count > 1")
-    return every.join(latest, ["video_id", "run_name"], "left_semi").drop("run_name")
+    return every.drop("run_name")

@@ -1,7 +1,10 @@
 """Text read from frames and scanned pages, repaired into paragraphs.
 
 Running headers and footers are lines at page edges that repeat, perhaps not
-exactly; page numbers are lines that only number the page. What is left is
+exactly; page numbers are lines that only number the page. Edges are those of
+the text, of form feeds and of page numbers. Where a text has no such mark
+inside, a header must stand at the text's own edge and begin a paragraph
+wherever it repeats. What is left is
 joined line by line: a word split with a dividing mark is joined unless the
 corpus knows it as a compound, and a character that was misread is put right
 where the corpus knows the corrected word and hardly the other.
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.canon import canonical
+from tallyloom.llm.canon import canonical, readable
 from tallyloom.session import checkpointed
 
 #: What a scanner reads (left) for what stands there (right).
@@ -68,6 +71,7 @@ _PAGE = tuple(
     )
 )
 _BARE = re.compile(r"[0-9]{1,4}")
+_FILLED = re.compile(r"([\s\-–—·•~∙*.=_]{1,2})\1{2,}")
 _SENTENCE = re.compile(r"[。！？；，、!?;,:]|\.(\s|$)")
 _ENDS = re.compile(r"[。！？.!?…”\"’)）】]\s*$")
 
@@ -76,19 +80,49 @@ def _han_line(t: str) -> bool:
     return _HAN_CHAR.search(t) is not None
 
 
+def _alike(spots: list[tuple[int, str]]) -> list[list[int]]:
+    """Lines in groups whose keys are alike, each compared with the first of the groups.
+
+    Alike keys share at least half as many letter pairs as they have letters,
+    less one, so only groups that do are compared letter by letter.
+    """
+    same: dict[str, list[int]] = {}
+    for i, key in spots:
+        same.setdefault(key, []).append(i)
+    groups: list[tuple[str, list[int]]] = []
+    by_pair: dict[str, list[int]] = {}
+    for key, members in same.items():
+        pairs = {key[j : j + 2] for j in range(len(key) - 1)}
+        shared = Counter(g for p in pairs for g in by_pair.get(p, ()))
+        for g in sorted(shared):
+            first = groups[g][0]
+            if abs(len(first) - len(key)) <= max(3, len(key) // 8) and shared[g] * 4 >= len(key) - 4 and difflib.SequenceMatcher(None, first, key, autojunk=False).ratio() >= ALIKE:
+                groups[g][1].extend(members)
+                break
+        else:
+            for p in pairs:
+                by_pair.setdefault(p, []).append(len(groups))
+            groups.append((key, list(members)))
+    return [m for _, m in groups]
+
+
 class Page:
     """The lines of one text with what each is: body, header, number or blank."""
 
     def __init__(self, text: str):
         # a soft hyphen at a line's end divides a word; elsewhere it is invisible
-        t = canonical(_SOFT.sub("¬", text)).replace("\r\n", "\n").replace("\r", "\n")
+        t = readable(_SOFT.sub("¬", text)).replace("\r\n", "\n").replace("\r", "\n")
         self.timed = "-->" in t
         if self.timed:
             t = re.sub(r"\n{2,}", "\n", _TIMING.sub("", t))
         self.lines: list[str] = []
         self.edge: list[bool] = []
+        #: First lines of the pages that form feeds begin.
+        self.feeds: set[int] = set()
         for k, page in enumerate(t.split("\f")):
             rows = page.split("\n")
+            if k:
+                self.feeds.add(len(self.lines))
             self.lines += rows
             full = [i for i, r in enumerate(rows) if r.strip()]
             ends = set(full[:2] + full[-2:])
@@ -104,8 +138,15 @@ class Page:
         values: set[int] = set()
         for i, x in enumerate(self.lines):
             s = x.strip()
-            if self.kind[i] != "body" or len(s) > 24 or self.timed:
+            if self.kind[i] != "body" or self.timed:
+                continue
+            if len(s) > 24:
+                # longer only by runs of dashes, dots or spaces
+                s = _FILLED.sub(r"\1", s) if _FILLED.search(s) else ""
+            if not 0 < len(s) <= 24:
                 continue
+            # a letter of another script may stand for the Latin one
+            s = canonical(s)
             if any(p.fullmatch(s) for p in _PAGE):
                 self.kind[i] = "number"
             elif _BARE.fullmatch(s):
@@ -116,33 +157,48 @@ class Page:
             if v - 1 in values or v + 1 in values or (self.edge[i] and v < 1000):
                 self.kind[i] = "number"
 
+    def _page_edges(self) -> tuple[set[int], bool]:
+        """The two outer lines of each page, and whether the text has a mark of pages inside."""
+        ends: set[int] = set()
+        page: list[int] = []
+        marks = 0
+        for i, k in enumerate(self.kind):
+            if i in self.feeds or k == "number":
+                if page:
+                    ends.update(page[:2] + page[-2:])
+                marks += bool(page)
+                page = []
+            if k == "body":
+                page.append(i)
+        ends.update(page[:2] + page[-2:])
+        return ends, marks > (not page)
+
     def _headers(self) -> None:
+        edges, marked = self._page_edges()
         spots = []
+        dotted: set[int] = set()
         for i, x in enumerate(self.lines):
             s = x.strip()
             # most lines have a mark of a sentence in them
-            if self.kind[i] != "body" or not 2 <= len(s) <= 60 or _SENTENCE.search(_BRACKETED.sub("", s) if "(" in s or "（" in s else s):
+            if self.kind[i] != "body" or len(s) < 2 or marked and i not in edges:
+                continue
+            # a dot at the end of an outer line may stand for a lost character of a header met elsewhere
+            plain = s.rstrip(".") if i in edges else s
+            if plain != s:
+                dotted.add(i)
+            if _SENTENCE.search(_BRACKETED.sub("", plain) if "(" in s or "（" in s else plain):
                 continue
             before = next((k for k in range(i - 1, -1, -1) if self.kind[k] != "number"), None)
             after = next((k for k in range(i + 1, len(self.lines)) if self.kind[k] != "number"), None)
-            starts = before is None or self.kind[before] == "blank" or bool(_ENDS.search(self.lines[before])) or self.edge[i]
+            starts = before is None or self.kind[before] == "blank" or bool(_ENDS.search(self.lines[before])) or i in edges
             follows = after is not None and self.kind[after] == "body" and self.lines[after].lstrip()[:1].islower()
             key = "".join(c for c in s.lower() if c.isalnum())
             digits = sum(c.isdigit() for c in key)
             # codes and numbered items repeat without being headers
-            if starts and not follows and len(key) - digits >= 4 and digits * 3 <= len(key) * (1 if self.edge[i] else 0):
+            if starts and not follows and len(key) - digits >= 4 and digits * 3 <= len(key) * (i in edges or self.edge[i]):
                 spots.append((i, key))
-        # as few distinct lines as headers: compare each with one of every group
-        groups: list[tuple[str, list[int]]] = []
-        for i, key in spots:
-            for g, members in groups:
-                if abs(len(g) - len(key)) <= 3 and (g == key or difflib.SequenceMatcher(None, g, key, autojunk=False).ratio() >= ALIKE):
-                    members.append(i)
-                    break
-            else:
-                groups.append((key, [i]))
-        for _, members in groups:
-            if len(members) > 1:
+        for members in _alike(spots):
+            if len(members) > 1 and not edges.isdisjoint(members) and not dotted.issuperset(members):
                 for i in members:
                     self.kind[i] = "header"
 
@@ -177,7 +233,7 @@ def vocabulary(texts: list[str]) -> Counter:
     """Counts of what decisions are made on: w: words, t: trigrams, j: split words."""
     n: Counter = Counter()
     for text in texts:
-        body = Page(text).body() if "\n" in text else canonical(text)
+        body = Page(text).body() if "\n" in text else readable(text)
         for mark, joined, compound in _compounds(body):
             if mark == "-":
                 n["j:" + joined + "|" + compound] += 1
@@ -351,7 +407,7 @@ def repair(text: str | None, decided: dict[str, str]) -> str | None:
 
 def _texts(records: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     one = records.select(F.col("text_record_id").cast("long").alias("text_record_id"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields))).alias("x")).select("text_record_id", "x.*")
-    return one.filter("text_record_id is not null and text is not null").groupBy("text_record_id", "field").agg(F.max("text").alias("text"))
+    return one.filter("text_record_id is not null and text is not null")
 
 
 def _decide(records: DataFrame, corpus: tuple[str, ...]) -> DataFrame:
@@ -378,7 +434,8 @@ def _with_decisions(texts: DataFrame, decided: DataFrame, apply, schema: str, mo
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))], names=["text_record_id", "field", "form"])
 
-    own = texts.mapInArrow(forms, "text_record_id long, field string, form string").join(decided, "form").groupBy("text_record_id", "field").agg(F.map_from_entries(F.collect_list(F.struct("form", "alt"))).alias("own"))
+    # several texts of one record share their forms; a decision is the same for all
+    own = texts.mapInArrow(forms, "text_record_id long, field string, form string").distinct().join(decided, "form").groupBy("text_record_id", "field").agg(F.map_from_entries(F.collect_list(F.struct("form", "alt"))).alias("own"))
     both = texts.join(own, ["text_record_id", "field"], "left").select("text_record_id", "field", "text", "own")
 
     def run_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,7 +453,7 @@ def find_noise(records: DataFrame, fields: tuple[str, ...] = FIELDS, corpus: tup
     """``text_record_id``, ``field``, ``noise_kind``: kinds present in each record's field.
 
     NULL, blank and "nan" texts have none. A record delivered again counts
-    once, with the greatest of its texts. Rows with a NULL id are left out.
+    once, with the kinds of all its texts. Rows with a NULL id are left out.
     """
 
     def apply(ids, names, texts, decided) -> Iterator[pa.RecordBatch]:
@@ -404,13 +461,16 @@ def find_noise(records: DataFrame, fields: tuple[str, ...] = FIELDS, corpus: tup
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))], names=["text_record_id", "field", "noise_kind"])
 
-    return _with_decisions(_texts(records, fields), _decide(records, corpus), apply, "text_record_id long, field string, noise_kind string", most)
+    return _with_decisions(_texts(records, fields), _decide(records, corpus), apply, "text_record_id long, field string, noise_kind string", most).distinct()
 
 
 def repair_texts(records: DataFrame, fields: tuple[str, ...] = FIELDS, corpus: tuple[str, ...] = CORPUS, most: int = MOST_SENT) -> DataFrame:
-    """``text_record_id``, ``field``, ``text``: every text as continuous paragraphs."""
+    """``text_record_id``, ``field``, ``text``: every text as continuous paragraphs; equal rows once.
+
+    NULL texts and rows with a NULL id are left out, blank texts stay as they are.
+    """
 
     def apply(ids, names, texts, decided) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, names, pa.array([repair(t, decided(j)) for j, t in enumerate(texts)], pa.string())], names=["text_record_id", "field", "text"])
 
-    return _with_decisions(_texts(records, fields), _decide(records, corpus), apply, "text_record_id long, field string, text string", most)
+    return _with_decisions(_texts(records, fields), _decide(records, corpus), apply, "text_record_id long, field string, text string", most).distinct()

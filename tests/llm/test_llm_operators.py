@@ -183,11 +183,11 @@ def test_same_looks_pairs_match_brute_force(spark):
     rows = [(i, rng.choice([1, 2, None]), rng.choice(texts), "x") for i in range(150)]
     rows += rows[:40] + [(None, 1, "OK 了", "x")]
     df = spark.createDataFrame(rows, "id long, video_id long, text string, form string")
-    got = {tuple(r) for r in canon.same_looks(df, F.col("id"), F.col("video_id"), F.col("text")).collect()}
+    got = {tuple(r) for r in canon.same_looks(canon.look_keys(df, F.col("id"), F.col("video_id"), F.col("text"))).collect()}
     uniq = {(i, v, t) for i, v, t, _ in rows if i is not None and v is not None and t and canon.canonical(t).strip() and canon.canonical(t) != "nan"}
     want = {(min(i, j), max(i, j)) for i, v, t in uniq for j, u, s in uniq if i != j and v == u and t != s and canon.canonical(t) == canon.canonical(s)}
     assert got == want and want
-    assert canon.same_looks(df.limit(0), F.col("id"), F.col("video_id"), F.col("text")).count() == 0
+    assert canon.same_looks(canon.look_keys(df.limit(0), F.col("id"), F.col("video_id"), F.col("text"))).count() == 0
 
 
 # ---- p6 ----
@@ -279,6 +279,11 @@ def test_bpe_equals_the_public_encoder(spark):
     got = {r.doc_id: list(r.ids) for r in bpe.encode_corpus(df).collect()}
     assert got == {1: enc.encode_ordinary("hi 你好"), 2: [], 3: []}
     assert bpe.encode_corpus(df.limit(0)).count() == 0
+    rows = [(1, "hi 你好"), (1, "hi 你好"), (1, "other"), (2, None), (2, ""), (None, "a"), (None, "b"), (3, "hi " * 40_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted({(i, tuple(enc.encode_ordinary(t or ""))) for i, t in rows}, key=repr)
+    for most in (0, 100):
+        assert sorted(((r.doc_id, tuple(r.ids)) for r in bpe.encode_corpus(df, most=most).collect()), key=repr) == want
 
 
 # ---- p9 ----
@@ -381,6 +386,36 @@ def test_block_lookup_misses_none_within_the_radius():
     assert got == {i for i, p in enumerate(prints) if (np.bitwise_count(known ^ p) <= leaks.RADIUS).any()}
 
 
+# ---- what is handed on keeps its script ----
+
+SCRIPTS = [("Москва", "Москва", "Москва"), ("Мoсква", "Москва", "Москва"), ("pаypаl", "paypal", "paypal"), ("Привет, wоrld", "Привет, world", "Привет, world"), ("ΑΒΓ", "ΑΒΓ", "ΑΒΓ"), ("сор", "cop", "сор"), ("cop", "cop", "cop"), ("ёлка", "ёлка", "ёлка"), ("Ｃａｆｅ́", "Café", "Café")]
+
+
+@pytest.mark.parametrize("text,form,read", SCRIPTS)
+def test_words_stay_in_their_script(text, form, read):
+    assert (canon.one_form(text), canon.readable(text)) == (form, read)
+    assert canon.one_form(form) == form
+
+
+def test_classes_hold_the_pairs(spark):
+    rows = [(i, "v", "pay" if i % 3 else "pаy") for i in range(30)] + [(40, "v", "alone"), (41, "w", "pаy"), (42, None, "pay"), (43, "v", None)]
+    keys = canon.look_keys(spark.createDataFrame(rows, "id long, v string, t string"), F.col("id"), F.col("v"), F.col("t"))
+    got = {r.id: (r.class_id, r.n_forms) for r in canon.look_classes(keys).collect()}
+    assert got == {i: (0, 2) for i in range(30)}
+    assert canon.same_looks(keys).count() == 200
+
+
+def test_scan_headers_stand_at_edges():
+    page = "{}\nA line of the page that goes on for a while, and on,\nand then it stops.\n"
+    text = "\f".join(page.format("Annual Report of the Municipal Commission for Records, Files and Appeals (No. 5) and Annex B to it".replace(",", "")) for _ in range(2))
+    assert scans.Page(text).kind.count("header") == 2
+    body = "First line of the page that runs along.\nIt goes on here.\n{}\nMore of the page is here now.\nStill more of it, and then an end.\n".format("Refrain of the old song")
+    for text in (body + "\f" + body, body + body):
+        assert "header" not in scans.Page(text).kind and "Refrain" in scans.repair(text, {})
+    assert scans.Page("One line of text here.\n- - - - - - - - - - - - - 12 - - - - - - - - - - - -\nAnd more.").kind[1] == "number"
+    assert scans.repair("Москва и ＡＢＣ", {}) == "Москва и ABC"
+
+
 # ---- p10 ----
 
 ENDS = [("整句结束。", "sentence"), ("它说：“好。”", "sentence"), ("前面一句。然后就在这里被", "open"), ("One sentence. And the cut wo", "open"), ("前面一句。后面…展开", "debris"), ("One. Two&nb", "debris"), ("一句。半个�", "debris"), ("一句。\\u5c", "debris"), ("一句。<b", "debris"), ("一句。#标签", "tag"), ("一句。 https://v.example.com/7f", "link"), ("一句。 👍", "emoji"), ("一句。\n——小满", "signature"), ("一句。\n赞 476", "counter"), ("一句。（完）", "closing"), ("A sentence. (end)", "closing"), ("没有标点的标题", "heading"), ("整句……", "dots"), ("One sentence...", "dots"), ("", "heading")]

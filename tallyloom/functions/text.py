@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 #: White space as the cleaners see it: Unicode, not only ASCII.
 SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
+#: Links, mentions, and topics with or without a closing mark.
+LINK = "(?i)" + r"https?://[^{s}]+|www\.[^{s}]+".replace("{s}", SPACE[1:-1])
+MENTION = r"@[A-Za-z0-9_\-\x{4E00}-\x{9FFF}]+"
+TOPIC = r"#([^#{s}]+)#?".replace("{s}", SPACE[1:-1])
+
 
 def clean(c: Column) -> Column:
     """Drop byte-order and zero-width marks, collapse white space, strip."""
@@ -39,15 +44,15 @@ def symbol_only(c: Column) -> Column:
 
 def mask_for_analysis(c: Column) -> Column:
     """Links, mentions and #topics# replaced by tags; NULL becomes empty."""
-    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"https?://\S+|www\.\S+", " <URL> ")
-    t = F.regexp_replace(t, r"@[\w\x{4E00}-\x{9FFF}_-]+", " <MENTION> ")
-    t = F.regexp_replace(t, r"#([^#]+)#", r" <TOPIC:$1> ")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    t = F.regexp_replace(F.coalesce(c, F.lit("")), LINK, " <URL> ")
+    t = F.regexp_replace(t, MENTION, " <MENTION> ")
+    t = F.regexp_replace(t, TOPIC, r" <TOPIC:$1> ")
+    return F.trim(F.regexp_replace(t, SPACE + "+", " "))
 
 
 def mask_links(c: Column) -> Column:
     """Links replaced by a tag, spaces collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"https?://\S+|www\.\S+", " <URL> "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), LINK, " <URL> "), SPACE + "+", " "))
 
 
 def count_term(c: Column, term: str) -> Column:
@@ -176,11 +181,14 @@ def confidence_label(c: Column) -> Column:
 
 
 #: Tokens of binary labels.
-TRUE_TOKENS, FALSE_TOKENS = ("1", "1.0", "true", "yes", "y", "是", "愤怒", "anger", "angry"), ("0", "0.0", "false", "no", "n", "否", "非愤怒", "不愤怒", "non-anger")
+TRUE_TOKENS = ("1", "anger", "angry", "愤怒", "是", "yes", "y", "true", "t", "pos", "positive")
+FALSE_TOKENS = ("0", "non-anger", "non_anger", "nonanger", "非愤怒", "否", "no", "n", "false", "f", "neg", "negative")
 
 
-def binary_label(c: Column) -> Column:
-    """1, 0 or NULL from a token in any of several languages."""
+def binary_label(c: Column, numeric: bool = False) -> Column:
+    """1, 0 or NULL from a token in any of several languages, or from a number that is 1 or 0."""
+    if numeric:
+        return F.when(c == 1, 1).when(c == 0, 0)
     t = F.lower(F.trim(c.cast("string")))
     return F.when(t.isin(*TRUE_TOKENS), 1).when(t.isin(*FALSE_TOKENS), 0)
 

@@ -82,8 +82,15 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbol_only_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Comments of punctuation and symbols alone."""
-    return comments(spark, sf_dir).filter(F.col("text").rlike(r"^[\p{P}\p{S}\s]+$")).select("id")
+    """Texts of every table, and those of marks, emoji and digits-free symbols alone."""
+    columns = {"comments": ("text", "author_name"), "comment_rows": ("text_raw", "text_clean"), "documents": ("text",), "text_records": ("title", "ocr_text", "subtitle_text"), "videos": ("title", "description", "tags", "stats")}
+    # every line of a text is judged, so that marks between paragraphs count too
+    parts = [table(spark, sf_dir, t).select(F.lit(f"{t}.{c}").alias("field"), F.explode(F.split(F.col(c), "[\n.。!！?？]")).alias("piece")) for t, cs in columns.items() for c in cs]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    piece = X.clean(F.col("piece"))
+    return every.filter(piece != "").groupBy("field").agg(F.count("*").alias("n_pieces"), F.count_if(X.symbol_only(piece)).alias("n_symbol_only"))
 
 
 def sentiment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,18 +250,18 @@ def lexicon_expansion_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mask_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Comments with links, mentions and topics after masking."""
+    """Comments with links, mentions and topics after masking, and distinct masked texts."""
     t = X.mask_for_analysis(F.col("text"))
     d = comments(spark, sf_dir).select(t.alias("t"))
-    return d.agg(F.count_if(F.contains("t", F.lit("<URL>"))).alias("n_links"), F.count_if(F.contains("t", F.lit("<MENTION>"))).alias("n_mentions"), F.count_if(F.contains("t", F.lit("<TOPIC:"))).alias("n_topics"))
+    return d.agg(F.count_if(F.contains("t", F.lit("<URL>"))).alias("n_links"), F.count_if(F.contains("t", F.lit("<MENTION>"))).alias("n_mentions"), F.count_if(F.contains("t", F.lit("<TOPIC:"))).alias("n_topics"), F.count_distinct("t").alias("n_texts"), F.sum(F.length("t")).alias("n_chars"))
 
 
 def canonical_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exported comments in the canonical columns, by header aliases."""
+    """Comments in the canonical columns, by header aliases."""
     from tallyloom.sources.ingest import canonical
 
-    d = canonical(table(spark, sf_dir, "comment_rows").select("comment_row_id", "platform_video_id", "parent_comment_id", "text_raw", "text_clean"), {"id": ("id", "comment_row_id"), "raw_text": ("text_raw",), "clean_text": ("clean_text", "text_clean"), "video_id": ("video_id", "platform_video_id"), "parent_id": ("parent_id", "parent_comment_id"), "user_id": ("user_id",), "likes": ("likes",)})
-    return d.groupBy("id").agg(F.max("raw_text").alias("raw_text"), F.max("clean_text").alias("clean_text"), F.max(F.trim("video_id")).alias("video_id"), F.max("parent_id").alias("parent_id"), F.max("user_id").alias("user_id"), F.max("likes").alias("likes"))
+    raw = table(spark, sf_dir, "comments").withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+    return canonical(raw).distinct()
 
 
 def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,6 +271,11 @@ def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.round(1 - F.col(f"k_{c}") / F.col("n"), 9).alias("null_share")) for c in d.columns))).alias("x")).select("x.*")
 
 
+#: White space as the cleaners see it, for a class of DuckDB's patterns.
+_WS = "\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+_CLEAN = "trim(regexp_replace(regexp_replace(text, '[\\x{FEFF}\\x{200B}\\x{200D}]', '', 'g'), '[" + _WS + "]+', ' ', 'g'))"
+
+
 def _n(terms, t="text") -> str:
     return "(" + (" + ".join(f"(length({t}) - length(replace({t}, '{w}', ''))) // {len(w)}" for w in terms) or "0") + ")"
 
@@ -313,7 +325,13 @@ ORACLE = {
     "dedup_keep_first": f"WITH {SQL_COMMENTS} SELECT id, video_id FROM c WHERE trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY trim(text) ORDER BY id) = 1",
     "dedup_per_video": f"WITH {SQL_COMMENTS} SELECT video_id, count(DISTINCT trim(text)) AS n_texts FROM c WHERE trim(text) <> '' GROUP BY 1",
     "stable_ids": f"WITH {SQL_COMMENTS} SELECT id, substr(md5('comments::' || id || '::' || coalesce(text, '')), 1, 16) AS stable_id FROM c",
-    "symbol_only_comments": f"WITH {SQL_COMMENTS} SELECT id FROM c WHERE regexp_matches(text, '^[\\p{{P}}\\p{{S}}\\s]+$')",
+    "symbol_only_comments": " UNION ALL ".join(
+        f"SELECT '{t}.{c}' AS field, count(*) AS n_pieces, count(*) FILTER (regexp_matches(p, '^[\\p{{P}}\\p{{S}}\\p{{Z}}\\s]*$')) AS n_symbol_only FROM (SELECT {_CLEAN.replace('text', 'x')} AS p FROM (SELECT unnest(regexp_split_to_array({c}, '[\n.。!！?？]')) AS x FROM {t})) WHERE p <> '' HAVING count(*) > 0"
+        for t, c in (("comments", "text"), ("comments", "author_name"), ("comment_rows", "text_raw"), ("comment_rows", "text_clean"), ("documents", "text"), ("text_records", "title"), ("text_records", "ocr_text"), ("text_records", "subtitle_text"), ("videos", "title"), ("videos", "description"), ("videos", "tags"), ("videos", "stats"))
+    ),
+    "clean_stats": f"""WITH {SQL_COMMENTS}, k AS (SELECT {_CLEAN} AS t FROM c), p AS (SELECT t, count(*) AS n, t IS NULL OR t = '' AS blank FROM k GROUP BY 1)
+        SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(coalesce(sum(n) FILTER (blank), 0) AS BIGINT) AS n_blank, CAST(coalesce(sum(n) FILTER (NOT blank AND regexp_matches(t, '^[\\p{{P}}\\p{{S}}\\p{{Z}}\\s]*$')), 0) AS BIGINT) AS n_symbol_only,
+               CAST(coalesce(sum(n - 1) FILTER (NOT blank), 0) AS BIGINT) AS n_repeated, count(*) FILTER (NOT blank) AS n_kept FROM p""",
     "sentiment_scores": f"""WITH {SQL_ROWS}, k AS (SELECT comment_row_id, round({_sent(L.DEFAULT)}, 6) AS sentiment_score, {_stance(L.DEFAULT)} AS stance_score, CAST({_any(L.DEFAULT.target)} AS INT) AS has_target FROM r)
         SELECT *, CASE WHEN sentiment_score > 0.5 THEN 'positive' WHEN sentiment_score < -0.5 THEN 'negative' ELSE 'neutral' END AS sentiment,
                CASE WHEN stance_score >= 1 THEN 'support' WHEN stance_score <= -1 THEN 'oppose' ELSE 'neutral' END AS stance FROM k""",
@@ -358,10 +376,12 @@ ORACLE = {
         n AS (SELECT category, count(*) AS n FROM k GROUP BY 1), co AS (SELECT category, term, count(*) AS co FROM (SELECT category, unnest(grams) AS term FROM k) GROUP BY 1, 2),
         s AS (SELECT category, term, round(co / sqrt(df::DOUBLE * n), 9) AS similarity FROM co JOIN df USING (term) JOIN n USING (category) WHERE term NOT IN ({", ".join(f"'{t}'" for t in _every)}))
         SELECT * FROM s WHERE similarity > 0.08 QUALIFY row_number() OVER (PARTITION BY category ORDER BY similarity DESC, term DESC) <= 20""",
-    "mask_counts": f"""WITH {SQL_COMMENTS} SELECT count(*) FILTER (regexp_matches(text, 'https?://\\S+|www\\.\\S+')) AS n_links,
-        count(*) FILTER (regexp_matches(regexp_replace(text, 'https?://\\S+|www\\.\\S+', ' <URL> ', 'g'), '@[\\w\\x{{4E00}}-\\x{{9FFF}}_-]+')) AS n_mentions,
-        count(*) FILTER (regexp_matches(regexp_replace(regexp_replace(text, 'https?://\\S+|www\\.\\S+', ' <URL> ', 'g'), '@[\\w\\x{{4E00}}-\\x{{9FFF}}_-]+', ' <MENTION> ', 'g'), '#[^#]+#')) AS n_topics FROM c""",
-    "canonical_projection": "SELECT comment_row_id AS id, max(text_raw) AS raw_text, max(text_clean) AS clean_text, max(trim(platform_video_id)) AS video_id, max(parent_comment_id) AS parent_id, CAST(NULL AS VARCHAR) AS user_id, CAST(NULL AS DOUBLE) AS likes FROM comment_rows GROUP BY 1",
+    "mask_counts": f"""WITH {SQL_COMMENTS}, u AS (SELECT regexp_replace(coalesce(text, ''), '(?i)https?://[^{_WS}]+|www\\.[^{_WS}]+', ' <URL> ', 'g') AS t FROM c),
+        m AS (SELECT regexp_replace(t, '@[A-Za-z0-9_\\-\\x{{4E00}}-\\x{{9FFF}}]+', ' <MENTION> ', 'g') AS t FROM u),
+        k AS (SELECT trim(regexp_replace(regexp_replace(t, '#([^#{_WS}]+)#?', ' <TOPIC:\\1> ', 'g'), '[{_WS}]+', ' ', 'g')) AS t FROM m)
+        SELECT count(*) FILTER (contains(t, '<URL>')) AS n_links, count(*) FILTER (contains(t, '<MENTION>')) AS n_mentions, count(*) FILTER (contains(t, '<TOPIC:')) AS n_topics, count(DISTINCT t) AS n_texts, CAST(sum(length(t)) AS BIGINT) AS n_chars FROM k""",
+    "canonical_projection": f"""SELECT DISTINCT id::VARCHAR AS id, text AS raw_text, {_CLEAN} AS clean_text, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS time, CAST(NULL AS VARCHAR) AS post_id,
+        video_id::VARCHAR AS video_id, CAST(NULL AS VARCHAR) AS user_id, CAST(NULL AS VARCHAR) AS parent_id, like_count::DOUBLE AS likes FROM comments""",
     "missing_fields": "SELECT unnest([" + ", ".join(f"{{'field': '{c}', 'null_share': round(1 - count({c})::DOUBLE / count(*), 9)}}" for c in ("comment_row_id", "video_id", "platform_video_id", "parent_comment_id", "level", "text_raw", "text_clean", "exported_at")) + "], recursive := true) FROM comment_rows",
 }
 QUERIES = {f.__name__: f for f in (video_anger_rollup, anger_share_by_source, comment_count_by_video, zero_comment_videos, zero_comment_having, clean_stats, dedup_keep_first, dedup_per_video, stable_ids, symbol_only_comments, sentiment_scores, video_polarization, polarity_pairs, category_stance, comment_trees, orphan_replies, parent_levels, videos_by_tag, tag_sets, curation_ladder, curation_counts, time_range_null_pass, gram_frequency, gram_frequency_whole, lexicon_expansion, lexicon_expansion_whole, mask_counts, canonical_projection, missing_fields)}

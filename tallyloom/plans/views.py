@@ -31,7 +31,8 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of both annotators as 1, 0 or NULL, and the adjudicated one."""
     t = table(spark, sf_dir, "abuse_labels")
-    token = lambda c: F.coalesce(binary_label(F.col(c)), F.when(F.trim(c) == "辱骂", 1).when(F.trim(c) == "正常", 0))
+    # numbers came as text, and two tokens are this table's own
+    token = lambda c: F.coalesce(binary_label(F.col(c)), binary_label(F.col(c).try_cast("double"), numeric=True), F.when(F.trim(c) == "辱骂", 1).when(F.trim(c) == "正常", 0))
     return t.select("record_table", "record_id", token("label_annotator_a").alias("a"), token("label_annotator_b").alias("b"), F.col("adjudicated_label").alias("adjudicated")).distinct()
 
 
@@ -40,7 +41,7 @@ def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "slices").select("video_id", "run_name", "segment_index", "start_second", "end_second", "duration_seconds", "phash_hex", "visual_label", "arousal_label", "status").distinct()
 
 
-_T = "coalesce(CASE WHEN lower(trim({c})) IN ('1','1.0','true','yes','y','是','愤怒','anger','angry','辱骂') THEN 1 WHEN lower(trim({c})) IN ('0','0.0','false','no','n','否','非愤怒','不愤怒','non-anger','正常') THEN 0 END)"
+_T = "coalesce(CASE WHEN lower(trim({c})) IN ('1','anger','angry','愤怒','是','yes','y','true','t','pos','positive','辱骂') OR TRY_CAST({c} AS DOUBLE) = 1 THEN 1 WHEN lower(trim({c})) IN ('0','non-anger','non_anger','nonanger','非愤怒','否','no','n','false','f','neg','negative','正常') OR TRY_CAST({c} AS DOUBLE) = 0 THEN 0 END)"
 SQL_COMMENTS = """c AS (SELECT id, video_id, level, text, like_count AS likes, updated_at, source, author_platform_id, published_at, parent_comment_id, platform_comment_id, root_comment_platform_id FROM comments
     QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, level DESC NULLS LAST, text DESC NULLS LAST, like_count DESC NULLS LAST) = 1)"""
 _BLANK = "CASE WHEN lower(trim({c})) NOT IN ('', 'nan', 'none', 'null', '<na>') THEN trim({c}) END"

@@ -9,18 +9,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions.text import clean
+
 ENCODINGS = ("utf-8-sig", "utf-8", "gb18030", "gbk")
 #: The canonical columns and the headers that stand for them, most wanted first.
 ALIASES = {
-    "id": ("id", "comment_id", "cid", "commentid"),
-    "raw_text": ("raw_text", "text", "content", "comment", "comment_text", "评论内容", "评论", "内容"),
-    "clean_text": ("clean_text", "text_clean"),
-    "time": ("time", "create_time", "created_at", "publish_time", "评论时间", "时间"),
-    "post_id": ("post_id", "note_id", "aweme_id", "postid"),
-    "video_id": ("video_id", "platform_video_id", "videoid", "视频id"),
-    "user_id": ("user_id", "uid", "author_id", "userid", "用户id"),
-    "parent_id": ("parent_id", "parent_comment_id", "reply_to", "parentid"),
-    "likes": ("likes", "like_count", "digg_count", "点赞数", "点赞"),
+    "id": ("id", "ID", "comment_id", "cid", "note_id", "msg_id"),
+    "raw_text": ("raw_text", "text", "content", "comment", "评论", "评论内容", "正文", "message"),
+    "time": ("time", "created_at", "create_time", "timestamp", "发布时间", "日期"),
+    "post_id": ("post_id", "postid", "帖子id", "note_id", "aweme_id"),
+    "video_id": ("video_id", "videoid", "视频id", "item_id", "aweme_id"),
+    "user_id": ("user_id", "userid", "uid", "作者id", "用户id"),
+    "parent_id": ("parent_id", "reply_to", "root_id", "上级评论id"),
+    "likes": ("likes", "like_count", "点赞", "点赞数", "upvotes"),
 }
 
 
@@ -45,12 +46,20 @@ def guess_text_column(df: DataFrame) -> str | None:
 
 
 def canonical(df: DataFrame, aliases: dict[str, Sequence[str]] = ALIASES, numeric: Sequence[str] = ("likes",)) -> DataFrame:
-    """The canonical columns; one that is missing is NULL, numbers that do not parse are NULL."""
+    """The canonical columns, the cleaned text after the raw one; what is missing or no number is NULL.
+
+    Without any of the headers of a text the column with the largest share of
+    filled strings is taken.
+    """
     out = []
     for target, wanted in aliases.items():
         c = find_column(df.columns, wanted)
+        if c is None and target == "raw_text":
+            c = guess_text_column(df)
         x = F.col(f"`{c}`") if c else F.lit(None)
         out.append((x.cast("string").try_cast("double") if target in numeric else x.cast("string")).alias(target))
+        if target == "raw_text" and "clean_text" not in aliases:
+            out.append(clean(x.cast("string")).alias("clean_text"))
     return df.select(*out)
 
 

@@ -37,7 +37,7 @@ def test_cleaning(spark):
 
 
 def test_labels_and_ids(spark):
-    assert _one(spark, X.binary_label(F.col("t")), "愤怒", "是", "Yes", "1", "1.0", "否", "n", "0", "2", "maybe", "0.5", None) == [1] * 5 + [0] * 3 + [None] * 4
+    assert _one(spark, X.binary_label(F.col("t")), "愤怒", "是", "Yes", "1", "t", "pos", "Positive", "否", "n", "0", "f", "NEG", "non_anger", "nonanger", "2", "maybe", "0.5", "1.0", None) == [1] * 7 + [0] * 7 + [None] * 5
     assert _one(spark, X.stable_id(F.lit("f.csv"), F.lit(1), F.col("t")), "你好") == ["a3888a6517539771"]
     assert _one(spark, X.level_label(F.col("t")), 1, 2, 3, schema="t int") == ["root", "reply", "3-level"]
     assert _one(spark, X.prefix_source(F.col("t"), ("monosans", "manual")), "monosans_http_x", "manual_1", "foo_bar") == ["monosans", "manual", "foo"]

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.stats import quantiles
+
 MISSING = "<NA>"
 
 
@@ -20,15 +22,17 @@ def frequency(df: DataFrame, col: Column) -> DataFrame:
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row a column: n, missing, mean, sample sd, median, quartiles, extremes.
 
-    Quantiles interpolate linearly between order statistics.
+    Quantiles interpolate linearly between order statistics; of a column
+    without values they are NULL.
     """
     x = {c: F.col(c).cast("double") for c in cols}
-    # one scan: all columns in one aggregate, then a row for each
-    one = {c: F.struct(F.count(v).alias("n"), (F.count("*") - F.count(v)).alias("missing"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min(v).alias("low"), F.max(v).alias("high")) for c, v in x.items()}
+    # moments of all columns in one scan, and one of a long form for the quantiles
+    one = {c: F.struct(F.count(v).alias("n"), (F.count("*") - F.count(v)).alias("missing"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("low"), F.max(v).alias("high")) for c, v in x.items()}
     row = df.agg(*(s.alias(f"_{i}") for i, s in enumerate(one.values())))
-    long = row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(f"_{i}").alias("s")) for i, c in enumerate(cols)))).alias("r"))
-    s = "r.s."
-    return long.select("r.variable", s + "n", s + "missing", s + "mean", s + "sd", F.col("r.s.q")[1].alias("median"), F.col("r.s.q")[0].alias("p25"), F.col("r.s.q")[2].alias("p75"), s + "low", s + "high")
+    long = row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(f"_{i}").alias("s")) for i, c in enumerate(cols)))).alias("r")).select("r.variable", "r.s.*")
+    values = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), v.alias("v")) for c, v in x.items()))).alias("r")).select("r.*")
+    q = F.broadcast(quantiles(values, "v", (0.25, 0.5, 0.75), ["variable"]))  # a row per column
+    return long.join(q, "variable", "left").select("variable", "n", "missing", "mean", "sd", F.col("q")[1].alias("median"), F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75"), "low", "high")
 
 
 def crosstab(df: DataFrame, a: Column, b: Column) -> DataFrame:

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.session import checkpointed
+
 # ---- distribution functions, for single values ----
 
 
@@ -97,21 +99,55 @@ def with_p(df: DataFrame, p: Callable[..., float], cols: Sequence[str], out: str
 # ---- ranks ----
 
 
-def mid_ranks(df: DataFrame, value: str, buckets: int = 64) -> DataFrame:
-    """``value``, ``n``, ``mid_rank`` of each distinct value; ties share the mean rank.
+def _ranked(counts: DataFrame, value: str, buckets: int, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``_upto`` to distinct values with ``n``: how many rows of a group are not greater.
 
     Distinct values are spread over buckets between approximate quantiles, so
-    that no task ranks them all; NULL values have no rank.
+    that no task ranks them all, and a group of any size is many tasks.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    # a scalar subquery of 63 numbers
+    # a scalar subquery of as many numbers as there are edges
     edges = counts.agg(F.coalesce(F.percentile_approx(F.col(value), F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(1000)), F.array().cast(f"array<{dict(counts.dtypes)[value]}>"))).scalar()
     d = counts.withColumn("_e", edges).withColumn("_b", F.aggregate("_e", F.lit(0), lambda acc, e: acc + F.when(F.col(value) > e, 1).otherwise(0))).drop("_e")
-    per = d.groupBy("_b").agg(F.sum("n").alias("_t"))
-    # 64 rows at most
-    before = per.withColumn("_before", F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_b", "_before")
-    upto = F.sum("n").over(Window.partitionBy("_b").orderBy(value))
-    return d.join(F.broadcast(before), "_b").select(value, "n", (F.col("_before") + upto - (F.col("n") - 1) / 2.0).alias("mid_rank"))
+    per = d.groupBy(*by, "_b").agg(F.sum("n").alias("_t"))
+    # a row per group and bucket
+    before = per.withColumn("_before", F.coalesce(F.sum("_t").over(Window.partitionBy(*(by or (F.lit(0),))).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(*by, "_b", "_before")
+    # without groups it has as many rows as buckets, else the planner decides by its size
+    before = before if by else F.broadcast(before)
+    upto = F.sum("n").over(Window.partitionBy(*by, "_b").orderBy(value))
+    return d.join(before, [*by, "_b"]).withColumn("_upto", F.col("_before") + upto).drop("_b", "_before")
+
+
+def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """``n`` rows of each distinct value, reduced before any shuffle; NULL values are left out."""
+    n = F.sum(weight) if weight else F.count("*")
+    return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("n"))
+
+
+def mid_ranks(df: DataFrame, value: str, buckets: int = 64, weight: str | None = None) -> DataFrame:
+    """``value``, ``n``, ``mid_rank`` of each distinct value; ties share the mean rank; NULL has none.
+
+    With ``weight`` a row stands for so many.
+    """
+    d = _ranked(value_counts(df, value, weight=weight), value, buckets)
+    return d.select(value, "n", (F.col("_upto") - (F.col("n") - 1) / 2.0).alias("mid_rank"))
+
+
+def quantiles(df: DataFrame, value: str, ps: Sequence[float], by: Sequence[str] = (), buckets: int = 64) -> DataFrame:
+    """``by``, and ``q``: the exact quantiles, interpolated linearly between order statistics.
+
+    Distinct values are counted and ranked in buckets: no task holds a group.
+    A group without values has no row; without groups and values there is none.
+    """
+    d = _ranked(value_counts(df.select(*by, F.col(value).cast("double").alias("_v")), "_v", by), "_v", buckets, by)
+    total = d.groupBy(*by).agg(F.sum("n").alias("_total")) if by else d.agg(F.sum("n").alias("_total"))
+    # order statistics are numbered from 0; a value covers n of them
+    d = d.join(total, list(by)) if by else d.withColumn("_total", total.scalar())
+    at = [(F.col("_total") - 1) * F.lit(float(p)) for p in ps]
+    covers = lambda i: (F.col("_upto") - F.col("n") <= i) & (i < F.col("_upto"))
+    picked = [F.max(F.when(covers(f(h)), F.col("_v"))).alias(f"_{i}{k}") for i, h in enumerate(at) for k, f in (("lo", F.floor), ("hi", F.ceil))]
+    near = d.groupBy(*by, "_total").agg(*picked)
+    q = [F.col(f"_{i}lo") + (h - F.floor(h)) * (F.col(f"_{i}hi") - F.col(f"_{i}lo")) for i, h in enumerate(at)]
+    return near.select(*by, F.array(*q).alias("q"))
 
 
 def chi_square(cells: DataFrame) -> DataFrame:
@@ -122,12 +158,17 @@ def chi_square(cells: DataFrame) -> DataFrame:
 
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
-    """H with tie correction, degrees of freedom, p."""
-    ranks = mid_ranks(df, value)
-    d = df.filter(F.col(group).isNotNull()).join(ranks.select(value, "mid_rank"), value)
-    g = d.groupBy(group).agg(F.sum("mid_rank").alias("r"), F.count("*").alias("n"))
+    """H with tie correction, degrees of freedom, p.
+
+    Rows are reduced to counts per (group, value) once; values are ranked and
+    weighted, not rows.
+    """
+    counts = checkpointed(value_counts(df.filter(F.col(group).isNotNull()), value, [group]))
+    ranks = mid_ranks(counts, value, weight="n")
+    g = counts.join(ranks.select(value, "mid_rank"), value).groupBy(group).agg(F.sum(F.col("mid_rank") * F.col("n")).alias("r"), F.sum("n").alias("n"))
     a = g.agg(F.sum(F.col("r") ** 2 / F.col("n")).alias("s"), F.sum("n").alias("n"), F.count("*").alias("k"))
-    ties = ranks.agg(F.sum(F.col("n").cast("double") ** 3 - F.col("n"))).scalar()
+    # ties need the counts alone, not the ranks
+    ties = counts.groupBy(value).agg(F.sum("n").alias("n")).agg(F.sum(F.col("n").cast("double") ** 3 - F.col("n"))).scalar()
     n = F.col("n").cast("double")
     one = a.withColumn("ties", ties)
     h = (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / (1 - F.col("ties") / (n**3 - n))
@@ -170,10 +211,16 @@ def wilcoxon_pairs(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """rho, S and the p of the t approximation."""
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    rx, ry = mid_ranks(d, x).select(x, F.col("mid_rank").alias("rx")), mid_ranks(d, y).select(y, F.col("mid_rank").alias("ry"))
-    a = d.join(rx, x).join(ry, y).agg(F.corr("rx", "ry").alias("rho"), F.count("*").cast("double").alias("n"))
+    """rho, S, t and the p of the t approximation, over counts of distinct pairs."""
+    pairs = checkpointed(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n")))
+    rx, ry = mid_ranks(pairs, "x", weight="n").select("x", F.col("mid_rank").alias("rx")), mid_ranks(pairs, "y", weight="n").select("y", F.col("mid_rank").alias("ry"))
+    total = pairs.agg(F.sum("n")).scalar()
+    # ranks about their mean, which is known, so that the sums stay small
+    centre = (total + 1) / 2.0
+    d = pairs.join(rx, "x").join(ry, "y").withColumns({"rx": F.col("rx") - centre, "ry": F.col("ry") - centre})
+    w = F.col("n").cast("double")
+    a = d.agg(F.sum(w).alias("n"), F.sum(w * F.col("rx") * F.col("ry")).alias("xy"), F.sum(w * F.col("rx") ** 2).alias("xx"), F.sum(w * F.col("ry") ** 2).alias("yy"))
+    a = a.select("n", (F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("rho"))
     n, rho = F.col("n"), F.col("rho")
     out = a.select("rho", ((n**3 - n) * (1 - rho) / 6).alias("s"), (rho * F.sqrt((n - 2) / (1 - rho**2))).alias("t"), (n - 2).alias("df"))
     return with_p(out, t_p, ["t", "df"])
@@ -336,16 +383,14 @@ def dummies(df: DataFrame, col: str, levels: Sequence[str]) -> tuple[DataFrame,
 
 def winsorize(df: DataFrame, col: str, p: float = 0.01, out: str = "winsorized") -> DataFrame:
     """Values drawn in to the p and 1 - p quantiles."""
-    q = df.agg(F.percentile(F.col(col), F.array(F.lit(p), F.lit(1 - p))).alias("_q"))
-    lo, hi = q.select(F.col("_q")[0]).scalar(), q.select(F.col("_q")[1]).scalar()
+    q = checkpointed(quantiles(df, col, (p, 1 - p)))
+    lo, hi = q.select(F.col("q")[0]).scalar(), q.select(F.col("q")[1]).scalar()
     return df.withColumn(out, F.greatest(F.least(F.col(col), hi), lo))
 
 
 def impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """NULL values replaced by the column's median, or 0 if it has none."""
     for c in cols:
-        m = df.agg(F.coalesce(F.percentile(F.col(c), F.lit(0.5)), F.lit(0.0))).scalar()
+        m = quantiles(df, c, (0.5,)).agg(F.coalesce(F.max(F.col("q")[0]), F.lit(0.0))).scalar()
         df = df.withColumn(c, F.coalesce(F.col(c).cast("double"), m))
     return df
-
-

@@ -24,51 +24,55 @@ def order_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey").withColumn("rate", F.col("returns") / F.col("lines"))
 
 
+def _rounded(df: DataFrame, **digits: int) -> DataFrame:
+    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
 def chi_square(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Independence of order status and priority."""
     x = T.chi_square(R.crosstab(table(spark, sf_dir, "orders"), F.col("o_orderstatus"), F.col("o_orderpriority")))
-    return x.select(F.round("statistic", 6).alias("statistic"), "df", F.round("cramers_v", 9).alias("cramers_v"))
+    return _rounded(x, statistic=6, cramers_v=9, p_value=9)
 
 
 def chi_square_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with its p-value, printed."""
+    """Its p-value, printed."""
     from tallyloom.functions.text import p_value_text
 
     x = T.chi_square(R.crosstab(table(spark, sf_dir, "orders"), F.col("o_orderstatus"), F.col("o_orderpriority")))
-    return x.withColumn("p_text", p_value_text(F.col("p_value")))
+    return x.select("df", p_value_text(F.col("p_value")).alias("p_text"))
 
 
 def kruskal_wallis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H of return rates over priorities."""
-    k = T.kruskal(order_returns(spark, sf_dir), "o_orderpriority", "rate")
-    return k.select(F.round("statistic", 5).alias("statistic"), "df")
+    return _rounded(T.kruskal(order_returns(spark, sf_dir), "o_orderpriority", "rate"), statistic=5, p_value=8)
 
 
 def anova_oneway(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F of return rates over priorities."""
-    k = T.anova(order_returns(spark, sf_dir), "o_orderpriority", "rate")
-    return k.select(F.round("statistic", 6).alias("statistic"), "df1", "df2")
+    return _rounded(T.anova(order_returns(spark, sf_dir), "o_orderpriority", "rate"), statistic=6, p_value=8)
 
 
 def anova_twoway(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Return rates by status and priority, and their interaction."""
-    return spark.createDataFrame(T.anova_two_way(order_returns(spark, sf_dir), "o_orderstatus", "o_orderpriority", "rate"))
+    out = spark.createDataFrame(T.anova_two_way(order_returns(spark, sf_dir), "o_orderstatus", "o_orderpriority", "rate"))
+    return _rounded(out, sum_sq=6, statistic=5, p_value=6)
 
 
 def wilcoxon_holm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank sums of return rates for each pair of statuses, p-values adjusted."""
-    return T.wilcoxon_pairs(order_returns(spark, sf_dir), "o_orderstatus", "rate")
+    return _rounded(T.wilcoxon_pairs(order_returns(spark, sf_dir), "o_orderstatus", "rate"), w=4, z=6, p_value=6, p_holm=6)
 
 
 def wilcoxon_w(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rank sums alone."""
-    return wilcoxon_holm(spark, sf_dir).select("group_a", "group_b", F.round("w", 4).alias("w"))
+    return wilcoxon_holm(spark, sf_dir).select("group_a", "group_b", "w")
 
 
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation of lines and mean quantity of an order."""
     s = T.spearman(order_returns(spark, sf_dir), "lines", "quantity")
-    return s.select(F.round("rho", 8).alias("rho"))
+    # S has up to fifteen digits before the point
+    return s.select(F.round("rho", 8).alias("rho"), F.log10("s").alias("log10_s"), F.round("t", 5).alias("t"), F.round("p_value", 6).alias("p_value")).withColumn("log10_s", F.round("log10_s", 7))
 
 
 def winsorized_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,20 +165,57 @@ def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _O = """r AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, o_totalprice, count(*) AS lines, count(*) FILTER (l_returnflag = 'R') AS returns, round(avg(l_quantity), 9) AS quantity, count(*) FILTER (l_returnflag = 'R')::DOUBLE / count(*) AS rate
     FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3, 4)"""
+#: Terms of the upper chi-square tail for an even number of degrees of freedom.
+_CHI2 = "exp(-x / 2) * (SELECT sum(pow(x / 2, i) / gamma(i + 1)) FROM generate_series(0, df // 2 - 1) AS t(i))"
+#: Two-sided tails by Simpson's rule over [0, |z|]: of the normal and, with d degrees of freedom, of t.
+_STEPS = "generate_series(0, 2000) AS t(i)"
+_SIMPSON = "CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+_NORMAL = f"1 - 2 * (SELECT sum({_SIMPSON} * exp(-pow(abs(z) * i / 2000.0::DOUBLE, 2) / 2)) FROM {_STEPS}) * abs(z) / 6000.0::DOUBLE / sqrt(2 * pi())"
+_T = f"1 - 2 * (SELECT sum({_SIMPSON} * pow(1 + pow(abs(t) * i / 2000.0::DOUBLE, 2) / d, -(d + 1) / 2)) FROM generate_series(0, 2000) AS g(i)) * abs(t) / 6000.0::DOUBLE * exp(lgamma((d + 1) / 2) - lgamma(d / 2)) / sqrt(d * pi())"
+_CELLS = """WITH n AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n FROM orders GROUP BY 1, 2), ra AS (SELECT a, sum(n) AS r FROM n GROUP BY 1), cb AS (SELECT b, sum(n) AS c FROM n GROUP BY 1), t AS (SELECT sum(n)::DOUBLE AS t FROM n),
+        e AS (SELECT coalesce(n, 0) AS n, r::DOUBLE * c / t AS e FROM ra CROSS JOIN cb CROSS JOIN t LEFT JOIN n USING (a, b)), x AS (SELECT sum((n - e) * (n - e) / e) AS x FROM e), k AS (SELECT (SELECT count(*) FROM ra) AS ka, (SELECT count(*) FROM cb) AS kb),
+        s AS (SELECT x, (ka - 1) * (kb - 1) AS df, sqrt(x / (t * (least(ka, kb) - 1))) AS v FROM x, k, t)"""
 ORACLE = {
-    "chi_square": """WITH n AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n FROM orders GROUP BY 1, 2), ra AS (SELECT a, sum(n) AS r FROM n GROUP BY 1), cb AS (SELECT b, sum(n) AS c FROM n GROUP BY 1), t AS (SELECT sum(n)::DOUBLE AS t FROM n),
-        e AS (SELECT coalesce(n, 0) AS n, r::DOUBLE * c / t AS e FROM ra CROSS JOIN cb CROSS JOIN t LEFT JOIN n USING (a, b)), x AS (SELECT sum((n - e) * (n - e) / e) AS x FROM e), k AS (SELECT (SELECT count(*) FROM ra) AS ka, (SELECT count(*) FROM cb) AS kb)
-        SELECT round(x, 6) AS statistic, CAST((ka - 1) * (kb - 1) AS BIGINT) AS df, round(sqrt(x / (t * (least(ka, kb) - 1))), 9) AS cramers_v FROM x, k, t""",
+    "chi_square": f"{_CELLS} SELECT round(x, 6) AS statistic, CAST(df AS BIGINT) AS df, round(v, 9) AS cramers_v, round({_CHI2}, 9) AS p_value FROM s",
+    "chi_square_p": f"{_CELLS}, p AS (SELECT df, {_CHI2} AS p FROM s) SELECT CAST(df AS BIGINT) AS df, CASE WHEN p < 0.001 THEN '<0.001' ELSE printf('%.3f', p) END AS p_text FROM p",
     "kruskal_wallis": f"""WITH {_O}, k AS (SELECT o_orderpriority AS g, rate, rank() OVER (ORDER BY rate) + (count(*) OVER (PARTITION BY rate) - 1) / 2.0::DOUBLE AS mr FROM r), n AS (SELECT count(*)::DOUBLE AS n FROM k),
-        s AS (SELECT sum(q * q / c) AS s, count(*) AS m FROM (SELECT g, sum(mr) AS q, count(*) AS c FROM k GROUP BY 1)), t AS (SELECT sum(c::DOUBLE * c * c - c) AS t FROM (SELECT rate, count(*) AS c FROM k GROUP BY 1))
-        SELECT round((12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - t / (n * n * n - n)), 5) AS statistic, CAST(m - 1 AS BIGINT) AS df FROM s, n, t""",
-    "anova_oneway": f"""WITH {_O}, g AS (SELECT o_orderpriority AS g, count(*) AS n, avg(rate) AS m, var_pop(rate) AS v FROM r GROUP BY 1), a AS (SELECT sum(n) AS n, count(*) AS k, sum(n * m) / sum(n) AS gm FROM g)
-        SELECT round((sum(g.n * (g.m - gm) * (g.m - gm)) / (any_value(a.k) - 1)) / (sum(g.n * g.v) / (any_value(a.n) - any_value(a.k))), 6) AS statistic, CAST(any_value(a.k) - 1 AS BIGINT) AS df1, CAST(any_value(a.n) - any_value(a.k) AS BIGINT) AS df2 FROM g, a""",
+        s AS (SELECT sum(q * q / c) AS s, count(*) AS m FROM (SELECT g, sum(mr) AS q, count(*) AS c FROM k GROUP BY 1)), t AS (SELECT sum(c::DOUBLE * c * c - c) AS t FROM (SELECT rate, count(*) AS c FROM k GROUP BY 1)),
+        h AS (SELECT (12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - t / (n * n * n - n)) AS x, m - 1 AS df FROM s, n, t)
+        SELECT round(x, 5) AS statistic, CAST(df AS BIGINT) AS df, round({_CHI2}, 8) AS p_value FROM h""",
+    "anova_oneway": f"""WITH {_O}, g AS (SELECT o_orderpriority AS g, count(*) AS n, avg(rate) AS m, var_pop(rate) AS v FROM r GROUP BY 1), a AS (SELECT sum(n) AS n, count(*) AS k, sum(n * m) / sum(n) AS gm FROM g),
+        f AS (SELECT (sum(g.n * (g.m - gm) * (g.m - gm)) / (any_value(a.k) - 1)) / (sum(g.n * g.v) / (any_value(a.n) - any_value(a.k))) AS f, (any_value(a.k) - 1)::DOUBLE AS d1, (any_value(a.n) - any_value(a.k))::DOUBLE AS d2 FROM g, a),
+        x AS (SELECT *, d2 / (d2 + d1 * f) AS x FROM f)
+        SELECT round(f, 6) AS statistic, CAST(d1 AS BIGINT) AS df1, CAST(d2 AS BIGINT) AS df2,
+               round(pow(x, d2 / 2) * (SELECT sum(exp(lgamma(d2 / 2 + i) - lgamma(d2 / 2) - lgamma(i + 1.0)) * pow(1 - x, i)) FROM generate_series(0, CAST(d1 AS BIGINT) // 2 - 1) AS t(i)), 8) AS p_value FROM x""",
+    "wilcoxon_holm": f"""WITH {_O}, l AS (SELECT DISTINCT o_orderstatus AS g FROM r), p AS (SELECT x.g AS group_a, y.g AS group_b FROM l x JOIN l y ON x.g < y.g),
+        d AS (SELECT group_a, group_b, o_orderstatus AS g, rank() OVER w + (count(*) OVER (PARTITION BY group_a, group_b, rate) - 1) / 2.0::DOUBLE AS mr, count(*) OVER (PARTITION BY group_a, group_b, rate)::DOUBLE AS c FROM p JOIN r ON o_orderstatus IN (group_a, group_b) WINDOW w AS (PARTITION BY group_a, group_b ORDER BY rate)),
+        s AS (SELECT group_a, group_b, sum(mr) FILTER (g = group_a) AS ra, count(*) FILTER (g = group_a)::DOUBLE AS na, count(*)::DOUBLE AS n, sum(c * c - 1) AS ties FROM d GROUP BY 1, 2),
+        w AS (SELECT *, ra - na * (na + 1) / 2 AS w, n - na AS nb FROM s), k AS (SELECT *, w - na * nb / 2 AS e FROM w),
+        z AS (SELECT group_a, group_b, w, (e - sign(e) * 0.5) / sqrt(na * nb / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM k), q AS (SELECT *, {_NORMAL} AS p FROM z),
+        h AS (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, group_a, group_b) + 1) * p) AS hs, row_number() OVER (ORDER BY p, group_a, group_b) AS i FROM q)
+        SELECT group_a, group_b, round(w, 4) AS w, round(z, 6) AS z, round(p, 6) AS p_value, round(max(hs) OVER (ORDER BY i), 6) AS p_holm FROM h""",
+    "anova_twoway": f"""WITH {_O}, x AS (SELECT o_orderstatus AS a, o_orderpriority AS b, rate AS v FROM r), c AS (SELECT a, b, count(*)::DOUBLE AS n, avg(v) AS m, var_pop(v) * count(*) AS w FROM x GROUP BY 1, 2),
+        -- each factor given the other by alternating fits of the cell means
+        la AS (SELECT list(DISTINCT a ORDER BY a) AS xs FROM c), total AS (SELECT sum(n) AS n, sum(w) AS w, count(*) AS cells, count(DISTINCT a) AS ka, count(DISTINCT b) AS kb FROM c),
+        ma AS (SELECT a, sum(n * m) / sum(n) AS e FROM c GROUP BY 1), mb AS (SELECT b, sum(n * m) / sum(n) AS e FROM c GROUP BY 1),
+        ra AS (SELECT sum(n * (m - e) * (m - e)) AS s FROM c JOIN ma USING (a)), rb AS (SELECT sum(n * (m - e) * (m - e)) AS s FROM c JOIN mb USING (b)),
+        {{fits}}
+        f AS (SELECT sum(c.n * (c.m - x.e - y.e) * (c.m - x.e - y.e)) AS s FROM c JOIN a{{last}} x USING (a) JOIN b{{last}} y USING (b)),
+        o AS (SELECT 'o_orderstatus' AS effect, rb.s - f.s AS sum_sq, ka - 1 AS df FROM rb, f, total UNION ALL SELECT 'o_orderpriority', ra.s - f.s, kb - 1 FROM ra, f, total UNION ALL SELECT 'o_orderstatus:o_orderpriority', f.s, cells - ka - kb + 1 FROM f, total),
+        q AS (SELECT effect, sum_sq, df, sum_sq / df / (w / (n - cells)) AS st, n - cells AS d2, df::DOUBLE AS d1 FROM o, total), x2 AS (SELECT *, d2 / (d2 + d1 * st) AS x FROM q)
+        SELECT effect, round(sum_sq, 6) AS sum_sq, CAST(df AS BIGINT) AS df, round(st, 5) AS statistic,
+               round(pow(x, d2 / 2) * (SELECT sum(exp(lgamma(d2 / 2 + i) - lgamma(d2 / 2) - lgamma(i + 1.0)) * pow(1 - x, i)) FROM generate_series(0, CAST(d1 AS BIGINT) // 2 - 1) AS t(i)), 6) AS p_value FROM x2""".format(
+        fits=" ".join(f"a{i} AS (SELECT a, sum(c.n * (c.m - {'0' if i == 0 else 'y.e'})) / sum(c.n) AS e FROM c {'' if i == 0 else f'JOIN b{i - 1} y USING (b)'} GROUP BY 1), b{i} AS (SELECT b, sum(c.n * (c.m - x.e)) / sum(c.n) AS e FROM c JOIN a{i} x USING (a) GROUP BY 1)," for i in range(12)), last=11
+    ),
     "wilcoxon_w": f"""WITH {_O}, l AS (SELECT DISTINCT o_orderstatus AS g FROM r), p AS (SELECT x.g AS group_a, y.g AS group_b FROM l x JOIN l y ON x.g < y.g),
         d AS (SELECT group_a, group_b, o_orderstatus AS g, rank() OVER (PARTITION BY group_a, group_b ORDER BY rate) + (count(*) OVER (PARTITION BY group_a, group_b, rate) - 1) / 2.0::DOUBLE AS mr FROM p JOIN r ON o_orderstatus IN (group_a, group_b))
         SELECT group_a, group_b, round(sum(mr) FILTER (g = group_a) - count(*) FILTER (g = group_a) * (count(*) FILTER (g = group_a) + 1) / 2.0::DOUBLE, 4) AS w FROM d GROUP BY 1, 2""",
     "spearman": f"""WITH {_O}, k AS (SELECT rank() OVER (ORDER BY lines) + (count(*) OVER (PARTITION BY lines) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY quantity) + (count(*) OVER (PARTITION BY quantity) - 1) / 2.0::DOUBLE AS b FROM r)
-        SELECT round(corr(a, b), 8) AS rho FROM k""",
+        , s AS (SELECT corr(a, b) AS rho, count(*)::DOUBLE AS n FROM k), u AS (SELECT *, rho * sqrt((n - 2) / (1 - rho * rho)) AS t, n - 2 AS d FROM s)
+        SELECT round(rho, 8) AS rho, round(log10((n * n * n - n) * (1 - rho) / 6), 7) AS log10_s, round(t, 5) AS t, round({_T}, 6) AS p_value FROM u""",
+    "stream_tumbling": """WITH w AS (SELECT date_trunc('day', ts) AS d, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)
+        SELECT CAST(epoch(d) AS BIGINT) AS window_start, event_type, n, total FROM w WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+    "stream_once": "SELECT event_type, count(*) AS n FROM (SELECT DISTINCT ON (event_id) event_id, event_type FROM events) GROUP BY 1",
     "winsorized_mean": "WITH q AS (SELECT quantile_cont(l_extendedprice, 0.01) AS lo, quantile_cont(l_extendedprice, 0.99) AS hi FROM lineitem) SELECT l_returnflag, round(avg(greatest(least(l_extendedprice, hi), lo)), 4) AS mean FROM lineitem, q GROUP BY 1",
     "median_imputed": "WITH c AS (SELECT id, source, like_count AS likes FROM comments QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, level DESC NULLS LAST, text DESC NULLS LAST, like_count DESC NULLS LAST) = 1) SELECT source, round(avg(coalesce(likes, (SELECT coalesce(median(likes), 0) FROM c))), 6) AS mean_likes FROM c GROUP BY 1",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as X
 from tallyloom.operators import rollups as R
+from tallyloom.operators.stats import quantiles
 from tallyloom.operators import sampling as P
 from tallyloom.operators.sequences import latest, top_per_group
 from tallyloom.plans.views import SQL_COMMENTS, SQL_LABELS, SQL_VIDEOS, comments, labels, videos
@@ -102,8 +103,8 @@ def numeric_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def combo_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, median and quartiles of order totals by status and priority."""
-    q = F.percentile("o_totalprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = table(spark, sf_dir, "orders").groupBy(F.concat_ws(" × ", "o_orderstatus", "o_orderpriority").alias("combo")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"), q.alias("q"))
+    d = table(spark, sf_dir, "orders").select(F.concat_ws(" × ", "o_orderstatus", "o_orderpriority").alias("combo"), "o_totalprice")
+    g = d.groupBy("combo").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean")).join(quantiles(d, "o_totalprice", (0.25, 0.5, 0.75), ["combo"]), "combo", "left")
     return g.select("combo", "n", "mean", *(F.round(F.col("q")[i], 4).alias(k) for i, k in enumerate(("p25", "median", "p75"))))
 
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +44,7 @@ class Accumulator:
         self._grow()
         size = len(into)
         for i, v in enumerate(sums):
-            # bincount adds doubles, exact below 2**53; a batch stays far below
-            self.sums[i][into] += np.bincount(local, weights=v.astype(np.float64), minlength=size).astype(np.int64)
+            self.sums[i][into] += _exact_sums(local, v, size)
         for arrays, values, ufunc, fill in ((self.mins, mins, np.minimum, _HIGH), (self.maxs, maxs, np.maximum, _LOW)):
             for i, v in enumerate(values):
                 part = np.full(size, fill, np.int64)
@@ -60,6 +58,15 @@ class Accumulator:
         return keys, out
 
 
+def _exact_sums(local: np.ndarray, v: np.ndarray, size: int) -> np.ndarray:
+    """Sums of 64-bit integers per code; bincount adds doubles, so large values go in two halves."""
+    v = v.astype(np.int64)
+    if not len(v) or max(abs(int(v.min())), abs(int(v.max()))) * len(v) < 1 << 53:
+        return np.bincount(local, weights=v, minlength=size).astype(np.int64)
+    low, high = (np.bincount(local, weights=h, minlength=size).astype(np.int64) for h in (v & 0xFFFFFFFF, v >> 32))
+    return (high << 32) + low
+
+
 def _values(batch: pa.RecordBatch, names: Sequence[str], missing: int) -> list[np.ndarray]:
     return [batch.column(n).fill_null(missing).to_numpy(zero_copy_only=False) for n in names]
 
@@ -97,19 +104,24 @@ def dense_aggregate(df: DataFrame, key: Column, sums: dict[str, Column] | None =
             yield sent()
 
     def sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a block is a hash range of keys, met whole by one task: its dictionary
-        # is that of the block alone
+        # a block is a hash range of keys, sorted: only the last key of a batch
+        # may go on, so memory is one batch, however many keys there are
         acc = Accumulator(n_sum, n_min, n_max)
         for b in batches:
-            if b.num_rows:
-                acc.add(b.column("key_value"), _values(b, names[:n_sum], 0), _values(b, names[n_sum : n_sum + n_min], _HIGH), _values(b, names[n_sum + n_min :], _LOW))
+            if not b.num_rows:
+                continue
+            acc.add(b.column("key_value"), _values(b, names[:n_sum], 0), _values(b, names[n_sum : n_sum + n_min], _HIGH), _values(b, names[n_sum + n_min :], _LOW))
+            keys, arrays = acc.drain()
+            if len(keys) > 1:
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:-1], pa.string()), *(pa.array(a[:-1], pa.int64()) for a in arrays)], names=["key_value", *names])
+            last = [a[-1:] for a in arrays]
+            acc.add(pa.array(keys[-1:], pa.string()), last[:n_sum], last[n_sum : n_sum + n_min], last[n_sum + n_min :])
         keys, arrays = acc.drain()
-        for at in range(0, len(keys), 100_000):
-            part = [pa.array(a[at : at + 100_000], pa.int64()) for a in arrays]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000], pa.string()), *part], names=["key_value", *names])
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array(a, pa.int64()) for a in arrays)], names=["key_value", *names])
 
     partial = picked.mapInArrow(reduce_split, schema)
-    total = partial.repartition(blocks, "key_value").mapInArrow(sum_blocks, schema)
+    total = partial.repartition(blocks, "key_value").sortWithinPartitions("key_value").mapInArrow(sum_blocks, schema)
     return total.select("key_value", *list(sums), *(F.when(F.col(n) != _HIGH, F.col(n)).alias(n) for n in mins), *(F.when(F.col(n) != _LOW, F.col(n)).alias(n) for n in maxs))
 
 
@@ -123,13 +135,3 @@ def heavy_keys(df: DataFrame, key: Column, share: float) -> DataFrame:
     # a scalar subquery of one long, over the same exchange
     total = counts.agg(F.sum("n_rows")).scalar()
     return counts.filter(F.col("n_rows") >= F.lit(share) * total)
-
-
-def salted_top(df: DataFrame, key: Column, n: int = 1) -> DataFrame:
-    """The ``n`` keys with most rows, ties by key; a top-k report."""
-    return dense_aggregate(df, key, sums={"n_rows": F.lit(1)}).orderBy(F.desc("n_rows"), "key_value").limit(n)
-
-
-def brute(rows: pd.DataFrame) -> pd.DataFrame:
-    """What ``dense_aggregate`` with a row count gives, by pandas; for tests."""
-    return rows.dropna(subset=["k"]).groupby("k").size().rename("n_rows").reset_index()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Tokens of switches, and the notations of local times, first success wins.
@@ -132,3 +132,20 @@ def available(cooldown_until: Column, now: Column, disabled: Column | None = Non
     """Whether a resource may be used: not disabled, no cooldown or one that is over."""
     free = cooldown_until.isNull() | (cooldown_until <= now)
     return free if disabled is None else free & ~F.coalesce(disabled, F.lit(False))
+
+
+def picked_url(raw: Column, own: Column) -> Column:
+    """First http address of the play, download and bit rate lists of a payload, else the column's own."""
+    listed = lambda c, path: F.coalesce(F.from_json(F.get_json_object(c, path), "array<string>"), F.array().cast("array<string>"))
+    rates = F.flatten(F.transform(listed(raw, "$.video.bit_rate"), lambda x: listed(x, "$.play_addr.url_list")))
+    every = F.concat(listed(raw, "$.video.play_addr.url_list"), listed(raw, "$.video.download_addr.url_list"), rates)
+    return F.coalesce(F.try_element_at(F.filter(every, lambda u: F.startswith(u, F.lit("http"))), F.lit(1)), F.when(F.startswith(own, F.lit("http")), own))
+
+
+def flat_pages(pages: DataFrame, payload: str, items: str = "$.data") -> DataFrame:
+    """One row per item of a page with ``record`` as JSON: its own, else the first of its mix; none without either."""
+    item = F.explode(F.from_json(F.get_json_object(payload, items), "array<string>")).alias("_item")
+    d = pages.select(*(c for c in pages.columns if c != payload), item)
+    filled = lambda c: F.when(~c.isin("{}", "null"), c)
+    mixed = F.try_element_at(F.from_json(F.get_json_object("_item", "$.aweme_mix_info.mix_items"), "array<string>"), F.lit(1))
+    return d.withColumn("record", F.coalesce(filled(F.get_json_object("_item", "$.aweme_info")), mixed)).filter("record is not null").drop("_item")

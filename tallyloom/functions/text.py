@@ -107,7 +107,7 @@ def stable_id(*parts: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Non-blank lines, trimmed."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[\r\n]+"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[\r\n]+"), lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")), lambda x: x != "")
 
 
 def dedup_lines(c: Column) -> Column:
@@ -122,6 +122,11 @@ def dedup_lines(c: Column) -> Column:
     return F.array_join(F.transform(F.aggregate(keyed, none, step), lambda x: x["line"]), "\n")
 
 
+def merged_lines(*texts: Column) -> Column:
+    """Texts one below the other with repeated lines dropped."""
+    return dedup_lines(F.concat_ws("\n", *(F.coalesce(t, F.lit("")) for t in texts)))
+
+
 def compose_sections(sections: Sequence[tuple[str, Column]]) -> Column:
     """Labelled sections joined by blank lines; one whose key was seen is dropped."""
     given = F.filter(F.array(*(F.struct(F.lit(label).alias("label"), F.coalesce(c, F.lit("")).alias("body"), compare_key(F.coalesce(c, F.lit(""))).alias("key")) for label, c in sections)), lambda s: s["key"] != "")
@@ -159,13 +164,6 @@ def ngrams(c: Column, low: int, high: int, chunk: str = r"[\x{4E00}-\x{9FFF}]+")
     return F.array_distinct(F.flatten(F.transform(chunks, grams)))
 
 
-def word_bigrams(c: Column) -> Column:
-    """Distinct pairs of neighbouring words."""
-    w = F.split(F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")), " ")
-    pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))
-    return F.array_distinct(F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>")))
-
-
 def closed_label(c: Column, allowed: Sequence[str], aliases: dict[str, str] | None = None) -> Column:
     """Label of a closed vocabulary after stripping spaces and aliases; else NULL."""
     t = F.translate(c, " 　", "")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,3 +60,80 @@ def matching_job(jobs: DataFrame, ids: Sequence[str], force: bool) -> DataFrame:
     v = F.from_json("requested", "video_ids array<string>, force boolean")
     same = (v["video_ids"] == F.array(*map(F.lit, ids))) & (F.coalesce(v["force"], F.lit(False)) == F.lit(force))
     return jobs.filter(same).agg(F.max("id").alias("id"))
+
+
+def listing_counts(files: DataFrame, folder: str, name: str, sidecar: str = "._") -> DataFrame:
+    """``n_files`` per folder, without sidecars; a folder of sidecars alone has no row."""
+    return files.filter(~F.startswith(F.col(name), F.lit(sidecar))).groupBy(folder).agg(F.count("*").alias("n_files"))
+
+
+def progress(rows: DataFrame, key: str, order: str, is_root: Column) -> DataFrame:
+    """What a job resumes from, per key: the last row in order, the counters, and both as JSON with sorted names."""
+    g = rows.groupBy(key).agg(F.max(order).alias(f"last_{order}"), F.count("*").alias("comment_count"), F.count_if(is_root).alias("root_comment_count"))
+    g = g.withColumn("reply_count", F.col("comment_count") - F.col("root_comment_count"))
+    return g.withColumn("cursor", F.to_json(F.struct("comment_count", F.col(f"last_{order}").cast("string").alias("cursor"), "reply_count", "root_comment_count")))
+
+
+def until_repeated(pages: DataFrame, key: str, order: str, cursor: str) -> DataFrame:
+    """Pages of each key before the first whose cursor was met before; a NULL cursor repeats nothing.
+
+    The stop is found from the first two places of each cursor, so no task
+    sorts a key's pages.
+    """
+    two = pages.filter(F.col(cursor).isNotNull()).groupBy(key, cursor).agg(F.min(order).alias("_first"))
+    again = pages.join(two, [key, cursor]).filter(F.col(order) > F.col("_first")).groupBy(key).agg(F.min(order).alias("_stop"))
+    return pages.join(again, key, "left").filter(F.col("_stop").isNull() | (F.col(order) < F.col("_stop"))).drop("_stop")
+
+
+def in_turn(available: DataFrame, order: str, cursors: Sequence[int]) -> DataFrame:
+    """``cursor`` and the resource whose turn it is; of none available no row."""
+    spark = available.sparkSession
+    ranked = available.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1)  # resources are a list of configuration
+    turns = spark.createDataFrame([(c,) for c in cursors], "cursor int").withColumn("_i", F.col("cursor") % F.nullif(available.agg(F.count("*")).scalar(), F.lit(0)))
+    return ranked.join(F.broadcast(turns), "_i").select("cursor", order)
+
+
+def backoff(attempt: Column, base: float, doubling: bool, most: float) -> Column:
+    """Seconds to wait before an attempt, from 1: linear or doubling, up to a bound."""
+    wait = F.lit(base) * (F.pow(F.lit(2.0), attempt - 1) if doubling else attempt)
+    return F.least(wait, F.lit(most))
+
+
+def with_cooldown(events: DataFrame, key: str, order: str, at: str, failed: str, threshold: int = 3, cooldown: float = 300.0) -> DataFrame:
+    """Breaker of each resource over its events in order: ``failure_count``, ``cooldown_until``, ``available``.
+
+    A failure counts on; at the threshold, and at every failure beyond it, the
+    resource cools down from then on. A success resets both. ``available``
+    tells whether the resource could be used when the event came. ``at`` is in
+    seconds. Counts come from two running sums; nothing is held per resource.
+    """
+    w = Window.partitionBy(key).orderBy(at, order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    d = events.withColumn("_f", F.coalesce(F.col(failed).cast("int"), F.lit(0))).withColumn("_era", F.sum(1 - F.col("_f")).over(upto))
+    d = d.withColumn("failure_count", F.sum("_f").over(Window.partitionBy(key, "_era").orderBy(at, order).rowsBetween(Window.unboundedPreceding, 0)))
+    until = F.when((F.col("_f") == 1) & (F.col("failure_count") >= threshold), F.col(at) + F.lit(cooldown))
+    d = d.withColumn("cooldown_until", until)
+    before = F.lag("cooldown_until").over(w)
+    return d.withColumn("available", before.isNull() | (F.col(at) >= before)).drop("_f", "_era")
+
+
+def isolated(items: DataFrame, fn: Callable[[object], object], key: str, value: str) -> DataFrame:
+    """``key``, ``result``, ``error_type``, ``message``: an item that fails does not end the job.
+
+    ``fn`` takes a value and returns a string or None; what it raises is kept
+    with the item.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    r = fn(v)
+                    rows.append((k, None if r is None else str(r), None, None))
+                except Exception as e:  # whatever one item raises is its own
+                    rows.append((k, None, type(e).__name__, str(e)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=[key, "result", "error_type", "message"])
+
+    return items.select(F.col(key).cast("string").alias(key), value).mapInArrow(run, f"{key} string, result string, error_type string, message string")

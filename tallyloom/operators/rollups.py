@@ -88,3 +88,13 @@ def mode_by(df: DataFrame, part: Sequence[str], value: str, order: str) -> DataF
     """Most frequent value of each group; of equal ones the first met by ``order``."""
     per = df.groupBy(*part, value).agg(F.count("*").alias("_n"), F.min(order).alias("_o"))
     return per.groupBy(*part).agg(F.max_by(F.struct(value, "_n"), F.struct(F.col("_n"), -F.col("_o"))).alias("_m")).select(*part, F.col(f"_m.{value}").alias(value), F.col("_m._n").alias("n"))
+
+
+def box_numbers(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Per group: low, p25, median, p75, high, and how many values lie outside the fences."""
+    q = quantiles(df, value, (0.0, 0.25, 0.5, 0.75, 1.0), [group])
+    q = q.select(group, *(F.col("q")[i].alias(k) for i, k in enumerate(("low", "p25", "median", "p75", "high"))))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n")).join(q, group)
+    reach = 1.5 * (F.col("p75") - F.col("p25"))
+    outside = (F.col(value) < F.col("p25") - reach) | (F.col(value) > F.col("p75") + reach)
+    return counts.groupBy(group, "low", "p25", "median", "p75", "high").agg(F.sum(F.when(outside, F.col("_n")).otherwise(0)).alias("n_outside"))

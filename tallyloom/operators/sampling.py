@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.stats import quantiles
+
 
 def hash_order(*parts: Column, seed: int = 42) -> Column:
     """An order like a seeded shuffle, the same in every engine."""
@@ -28,9 +30,8 @@ def quantile_bins(df: DataFrame, value: str, q: int = 5, out: str = "bin") -> Da
     Edges are exact quantiles with linear interpolation, got from the counts
     of distinct values.
     """
-    # exact quantiles of a column from its counts: a scalar subquery of q + 1 numbers
-    sizes = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    e = sizes.agg(F.array_distinct(F.percentile("_v", F.array(*(F.lit(i / q) for i in range(q + 1))), F.col("_n")))).scalar()
+    # a scalar subquery of q + 1 numbers
+    e = quantiles(df, value, [i / q for i in range(q + 1)]).agg(F.max(F.array_distinct("q"))).scalar()
     inner = df.withColumn("_e", F.slice(e, 2, F.greatest(F.size(e) - 1, F.lit(0))))
     return inner.withColumn(out, F.aggregate("_e", F.lit(0), lambda acc, x: acc + F.when(F.col(value) > x, 1).otherwise(0))).drop("_e")
 
@@ -69,3 +70,17 @@ def batches(df: DataFrame, order: Sequence[str], size: int, part: Sequence[str]
     """Add ``batch``: rows in order, so many a batch, from 0."""
     w = Window.partitionBy(*part).orderBy(*order)
     return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+
+
+def annotation_sample(df: DataFrame, video: str, month: str, length: str, row_id: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows by strata of the 50 most frequent videos, month and quintile of length; all rows if there are no more.
+
+    Adds ``stratum``. Quotas are by largest remainder and never exceed a
+    stratum, so nothing is left to fill up.
+    """
+    d = quantile_bins(top_or_other(df, video), length, 5)
+    d = d.withColumn("stratum", F.concat_ws("|", "video_group", F.coalesce(month, F.lit("MISSING")), F.col("bin").cast("string")))
+    few = df.agg(F.count("*") <= n).scalar()
+    quotas = largest_remainder(d.groupBy("stratum").agg(F.count("*").alias("_size")), "stratum", "_size", n)
+    ranked = d.withColumn("_n", F.row_number().over(Window.partitionBy("stratum").orderBy(hash_order(F.col(row_id), seed=seed), row_id)))
+    return ranked.join(quotas.select("stratum", "quota"), "stratum").filter(few | (F.col("_n") <= F.col("quota"))).drop("_n", "quota", "bin", "video_group")

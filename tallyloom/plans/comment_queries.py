@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import lexicon as L
 from tallyloom.functions import text as X
 from tallyloom.operators.rollups import mode_by
 from tallyloom.operators.sequences import keep_first, top_per_group
-from tallyloom.plans.views import SQL_COMMENTS, SQL_LABELS, SQL_ROWS, SQL_VIDEOS, comment_rows, comments, labels, videos
+from tallyloom.plans.views import SQL_COMMENTS, SQL_LABELS, SQL_ROWS, SQL_SPACE, SQL_VIDEOS, comment_rows, comments, labels, videos
 from tallyloom.session import table
 
 #: Vocabulary of the curation ladder.
@@ -121,13 +121,19 @@ def video_polarization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumns({"non_neutral_ratio": F.round(X.safe_ratio(F.col("positive") + F.col("negative"), F.col("total")), 6), "balance": F.round(X.safe_ratio(F.abs(s - o), s + o), 6), "confrontation": F.round(X.safe_ratio(2 * F.least(s, o), s + o), 6)})
 
 
+def _spread(key: Column, row_id: Column) -> Column:
+    """A join key of strings in which rows without one are told apart, so that no task gets them all."""
+    return F.coalesce(key.cast("string"), F.concat(F.lit("\u0000"), row_id.cast("string")))
+
+
 def polarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per video: mean polarity, mean and sd of intensity, pairs of reply and parent and their transmissibility."""
     d = comment_rows(spark, sf_dir).select("comment_row_id", "video", "parent", X.mask_links(F.col("text")).alias("t")).select("comment_row_id", "video", "parent", L.polarity(F.col("t")).alias("p"))
     mean = d.agg(F.avg("p")).scalar()
     d = d.withColumn("i", L.intensity(F.col("p"), mean))
-    parent = d.select(F.col("comment_row_id").alias("parent"), F.col("p").alias("pp"))
-    j = d.join(parent, "parent", "left").withColumn("tr", L.transmissibility(F.col("pp"), F.col("p")))
+    parent = d.select(F.col("comment_row_id").alias("own"), F.col("p").alias("pp"))
+    # rows without a parent go to many tasks by a key that matches nothing
+    j = d.join(parent, _spread(F.col("parent"), F.col("comment_row_id")) == F.col("own"), "left").withColumn("tr", L.transmissibility(F.col("pp"), F.col("p")))
     return j.groupBy("video").agg(F.count("*").alias("total"), F.round(F.avg("p"), 6).alias("polarity"), F.round(F.avg("i"), 6).alias("intensity"), F.round(F.stddev_pop("i"), 6).alias("intensity_sd"), F.count("tr").alias("n_pairs"), F.round(F.coalesce(F.avg("tr"), F.lit(0.0)), 6).alias("transmissibility"))
 
 
@@ -143,11 +149,14 @@ def category_stance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comment_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per root comment: replies in order of id, as one string."""
+    """Per root comment and piece of 10,000 ids: replies in order of id, as one string.
+
+    A thread with a third of all replies is many pieces of bounded size.
+    """
     c = comments(spark, sf_dir, "parent_comment_id", "platform_comment_id", "root_comment_platform_id")
     roots = c.filter("level = 1").select("platform_comment_id", F.col("id").alias("root_id"))
-    rep = c.filter("level = 2").select("id", F.col("root_comment_platform_id").alias("platform_comment_id"))
-    return rep.join(roots, "platform_comment_id").groupBy("root_id").agg(F.count("*").alias("n_replies"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("reply_ids"))
+    rep = c.filter("level = 2 and root_comment_platform_id is not null").select("id", F.col("root_comment_platform_id").alias("platform_comment_id"))
+    return rep.join(roots, "platform_comment_id").groupBy("root_id", F.floor(F.col("id") / 10_000).alias("piece")).agg(F.count("*").alias("n_replies"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("reply_ids"))
 
 
 def orphan_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,8 +169,8 @@ def orphan_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parent_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comments by own and parent's level label; a missing parent counts apart."""
     c = comments(spark, sf_dir, "parent_comment_id")
-    p = c.select(F.col("id").alias("parent_comment_id"), F.col("level").alias("pl"))
-    j = c.select("id", "level", "parent_comment_id").join(p, "parent_comment_id", "left")
+    p = c.select(F.col("id").cast("string").alias("own"), F.col("level").alias("pl"))
+    j = c.select("id", "level", "parent_comment_id").join(p, _spread(F.col("parent_comment_id"), F.col("id")) == F.col("own"), "left")
     return j.groupBy(X.level_label(F.col("level")).alias("level_label"), F.coalesce(X.level_label(F.col("pl")), F.lit("none")).alias("parent_label")).agg(F.count("*").alias("n"))
 
 
@@ -271,8 +280,7 @@ def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.round(1 - F.col(f"k_{c}") / F.col("n"), 9).alias("null_share")) for c in d.columns))).alias("x")).select("x.*")
 
 
-#: White space as the cleaners see it, for a class of DuckDB's patterns.
-_WS = "\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+_WS = SQL_SPACE
 _CLEAN = "trim(regexp_replace(regexp_replace(text, '[\\x{FEFF}\\x{200B}\\x{200D}]', '', 'g'), '[" + _WS + "]+', ' ', 'g'))"
 
 
@@ -352,8 +360,8 @@ ORACLE = {
         a AS (SELECT video, round(avg(c_state), 6) AS mean_state, round(avg(c_freedom), 6) AS mean_freedom, round(avg(c_populism), 6) AS mean_populism, round(avg(top), 6) AS mean_strength, round(avg(gap), 6) AS mean_gap, round(avg(pol), 6) AS mean_polarization FROM e GROUP BY 1),
         b AS (SELECT video, label AS top_label FROM (SELECT video, label, count(*) AS n, min(seq) AS f FROM e GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY video ORDER BY n DESC, f) = 1)
         SELECT * FROM a JOIN b USING (video)""",
-    "comment_trees": f"""WITH {SQL_COMMENTS} SELECT p.id AS root_id, count(*) AS n_replies, string_agg(q.id::VARCHAR, ',' ORDER BY q.id) AS reply_ids
-        FROM c q JOIN c p ON p.platform_comment_id = q.root_comment_platform_id AND p.level = 1 WHERE q.level = 2 GROUP BY 1""",
+    "comment_trees": f"""WITH {SQL_COMMENTS} SELECT p.id AS root_id, CAST(floor(q.id / 10000) AS BIGINT) AS piece, count(*) AS n_replies, string_agg(q.id::VARCHAR, ',' ORDER BY q.id) AS reply_ids
+        FROM c q JOIN c p ON p.platform_comment_id = q.root_comment_platform_id AND p.level = 1 WHERE q.level = 2 GROUP BY 1, 2""",
     "orphan_replies": f"WITH {SQL_COMMENTS} SELECT id FROM c q WHERE level = 2 AND NOT EXISTS (SELECT 1 FROM c p WHERE p.level = 1 AND p.platform_comment_id = q.root_comment_platform_id)",
     "parent_levels": f"""WITH {SQL_COMMENTS} SELECT CASE q.level WHEN 1 THEN 'root' WHEN 2 THEN 'reply' ELSE q.level || '-level' END AS level_label,
         coalesce(CASE p.level WHEN 1 THEN 'root' WHEN 2 THEN 'reply' ELSE p.level || '-level' END, 'none') AS parent_label, count(*) AS n FROM c q LEFT JOIN c p ON p.id = q.parent_comment_id GROUP BY 1, 2""",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import text as X
 from tallyloom.functions.keys import blank_to_null
 from tallyloom.operators import sequences as S
-from tallyloom.plans.views import SQL_SLICES, SQL_VIDEOS, slices, videos
+from tallyloom.plans.views import SQL_SLICES, SQL_VIDEOS, slices, sql_lines, sql_sections, videos
 from tallyloom.session import table
 
 
@@ -94,20 +94,25 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ocr_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per video: records, records with frame text, coverage, the texts in order as a digest."""
+    """Per video and piece of 4,096 record ids: records, records with frame text, coverage, the texts in order as a digest.
+
+    The pieces of a video in order are its whole text; no cell holds more than
+    a piece, whatever the video.
+    """
     d = _records(spark, sf_dir).select("video_id", "text_record_id", F.trim(F.regexp_replace(F.coalesce(blank_to_null(F.col("ocr_text")), F.lit("")), r"[ \t\n]+", " ")).alias("t"))
     filled = F.col("t") != ""
-    g = d.groupBy("video_id").agg(F.count("*").alias("n_records"), F.count_if(filled).alias("n_texts"), F.sort_array(F.collect_list(F.when(filled, F.struct("text_record_id", "t")))).alias("ts"))
-    return g.select("video_id", "n_records", "n_texts", F.round(F.col("n_texts") / F.col("n_records"), 9).alias("coverage"), F.md5(F.array_join(F.transform("ts", lambda x: x["t"]), "\n")).alias("digest"))
+    g = d.groupBy("video_id", F.floor(F.col("text_record_id") / 4096).alias("piece")).agg(F.count("*").alias("n_records"), F.count_if(filled).alias("n_texts"), F.sort_array(F.collect_list(F.when(filled, F.struct("text_record_id", "t")))).alias("ts"))
+    return g.select("video_id", "piece", "n_records", "n_texts", F.round(F.col("n_texts") / F.col("n_records"), 9).alias("coverage"), F.md5(F.array_join(F.transform("ts", lambda x: x["t"]), "\n")).alias("digest"))
 
 
 def text_material(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First filled of title columns, and lengths of each text, of every record joined to its video."""
+    """First filled of title columns, and length and digest of each text, of every record joined to its video."""
     r = _records(spark, sf_dir)
     v = videos(spark, sf_dir).select(F.col("platform_video_id").alias("video_id"), F.col("title").alias("video_title")).groupBy("video_id").agg(F.max("video_title").alias("video_title"))
     j = r.join(v, "video_id", "left")
     first = F.coalesce(blank_to_null(F.col("title_text")), blank_to_null(F.col("title")), blank_to_null(F.col("video_title")), F.lit(""))
-    return j.select("text_record_id", first.alias("best_title"), F.coalesce(F.length("transcript_text"), F.lit(0)).alias("n_transcript"), F.coalesce(F.length("subtitle_text"), F.lit(0)).alias("n_subtitle"))
+    whole = F.concat_ws("\n", F.coalesce("transcript_text", F.lit("")), F.coalesce("subtitle_text", F.lit("")))
+    return j.select("text_record_id", first.alias("best_title"), F.coalesce(F.length("transcript_text"), F.lit(0)).alias("n_transcript"), F.coalesce(F.length("subtitle_text"), F.lit(0)).alias("n_subtitle"), F.md5(whole).alias("digest"))
 
 
 def composed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,6 +207,8 @@ _R = "r AS (SELECT DISTINCT ON (text_record_id) * FROM text_records ORDER BY tex
 _B = "CASE WHEN lower(trim({c})) NOT IN ('', 'nan', 'none', 'null', '<na>') THEN trim({c}) END"
 
 ORACLE = {
+    "composed_sections": "WITH " + _R + " SELECT text_record_id, " + sql_sections([("title", "title"), ("title_text", "title_text"), ("transcript", "transcript_text"), ("subtitle", "subtitle_text")]) + " AS material FROM r",
+    "line_dedup": "WITH " + _R + " SELECT text_record_id, " + sql_lines("ocr_text") + " AS text FROM r WHERE ocr_text IS NOT NULL",
     "frame_segments": f"WITH {_SEG} SELECT * FROM f",
     "compression": f"WITH {_SEG} SELECT video_id, CAST(sum(n_frames) AS BIGINT) AS frames, count(*) AS segments, round(count(*)::DOUBLE / sum(n_frames), 9) AS ratio FROM f GROUP BY 1",
     "timeline_blocks": f"""WITH {_L}, d AS (SELECT *, coalesce(visual_label, '') AS v, coalesce(arousal_label, '') AS a FROM t WHERE status = 'success' AND start_second IS NOT NULL AND end_second IS NOT NULL),
@@ -221,11 +228,11 @@ ORACLE = {
         SELECT *, CASE WHEN n_failed = 0 THEN 'completed' WHEN n_failed < n_items THEN 'partial' ELSE 'failed' END AS job_status FROM g""",
     "unresolved_failures": "SELECT DISTINCT video_id, segment_index FROM slices f WHERE status = 'failed' AND NOT EXISTS (SELECT 1 FROM slices o WHERE o.status = 'success' AND o.video_id = f.video_id AND o.segment_index = f.segment_index)",
     "ocr_rollup": f"""WITH {_R}, d AS (SELECT video_id, text_record_id, trim(regexp_replace(coalesce({_B.format(c="ocr_text")}, ''), '[ \\t\\n]+', ' ', 'g')) AS t FROM r)
-        SELECT video_id, count(*) AS n_records, count(*) FILTER (t <> '') AS n_texts, round(count(*) FILTER (t <> '')::DOUBLE / count(*), 9) AS coverage,
-               md5(coalesce(string_agg(t, chr(10) ORDER BY text_record_id) FILTER (t <> ''), '')) AS digest FROM d GROUP BY 1""",
+        SELECT video_id, CAST(floor(text_record_id / 4096) AS BIGINT) AS piece, count(*) AS n_records, count(*) FILTER (t <> '') AS n_texts, round(count(*) FILTER (t <> '')::DOUBLE / count(*), 9) AS coverage,
+               md5(coalesce(string_agg(t, chr(10) ORDER BY text_record_id) FILTER (t <> ''), '')) AS digest FROM d GROUP BY 1, 2""",
     "text_material": f"""WITH {_R}, {SQL_VIDEOS}, w AS (SELECT platform_video_id AS video_id, max(title) AS video_title FROM v GROUP BY 1)
         SELECT text_record_id, coalesce({_B.format(c="title_text")}, {_B.format(c="r.title")}, {_B.format(c="video_title")}, '') AS best_title,
-               CAST(coalesce(length(transcript_text), 0) AS INT) AS n_transcript, CAST(coalesce(length(subtitle_text), 0) AS INT) AS n_subtitle FROM r LEFT JOIN w USING (video_id)""",
+               CAST(coalesce(length(transcript_text), 0) AS INT) AS n_transcript, CAST(coalesce(length(subtitle_text), 0) AS INT) AS n_subtitle, md5(coalesce(transcript_text, '') || chr(10) || coalesce(subtitle_text, '')) AS digest FROM r LEFT JOIN w USING (video_id)""",
     "embedding_frames": """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings),
         p AS (SELECT *, lag(b) OVER (PARTITION BY label ORDER BY vec_id) AS pb FROM e),
         g AS (SELECT *, sum(CASE WHEN list_sum(list_transform(list_zip(b, pb), lambda z: CAST(z[1] <> z[2] AS INT))) <= 32 AND pb IS NOT NULL THEN 0 ELSE 1 END) OVER (PARTITION BY label ORDER BY vec_id) AS segment FROM p)

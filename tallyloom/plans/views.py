@@ -60,3 +60,23 @@ SQL_ROWS = (
 SQL_VIDEOS = """v AS (SELECT * FROM videos QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) = 1)"""
 SQL_LABELS = "l AS (SELECT DISTINCT record_table, record_id, " + _T.format(c="label_annotator_a") + " AS a, " + _T.format(c="label_annotator_b") + " AS b, adjudicated_label AS adjudicated FROM abuse_labels)"
 SQL_SLICES = "s AS (SELECT DISTINCT video_id, run_name, segment_index, start_second, end_second, duration_seconds, phash_hex, visual_label, arousal_label, status FROM slices)"
+#: White space as the cleaners see it, for a class of DuckDB's patterns.
+SQL_SPACE = "\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+#: The key that lines and sections are compared by.
+_KEY = "regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
+
+def sql_sections(pairs: list[tuple[str, str]]) -> str:
+    """SQL of ``compose_sections``."""
+    given = "list_filter([" + ", ".join(f"{{'l': '{label}', 'b': coalesce({c}, ''), 'k': {_KEY.format(x=f'''coalesce({c}, '')''')}}}" for label, c in pairs) + "], lambda s: s.k <> '')"
+    kept = f"list_filter({given}, lambda s, i: list_position(list_transform({given}, lambda y: y.k), s.k) = i)"
+    return f"array_to_string(list_transform({kept}, lambda s: '【' || s.l || '】' || chr(10) || s.b), chr(10) || chr(10))"
+
+
+def sql_lines(text: str) -> str:
+    """SQL of ``dedup_lines``: kept lines so far, with their keys, reduced from the left."""
+    lines = f"list_filter(list_transform(regexp_split_to_array(coalesce({text}, ''), '[\\r\\n]+'), lambda x: regexp_replace(x, '^[{SQL_SPACE}]+|[{SQL_SPACE}]+$', '', 'g')), lambda x: x <> '')"
+    keyed = f"list_filter(list_transform({lines}, lambda x: [{{'l': x, 'k': {_KEY.format(x='x')}}}]), lambda x: x[1].k <> '')"
+    seen = "len(list_filter(acc, lambda a: a.k = x[1].k OR (length(a.k) >= 24 AND length(x[1].k) >= 24 AND (contains(a.k, x[1].k) OR contains(x[1].k, a.k))))) > 0"
+    kept = f"list_reduce({keyed}, lambda acc, x: CASE WHEN {seen} THEN acc ELSE list_concat(acc, x) END, [{{'l': '', 'k': ''}}][:0])"
+    return f"array_to_string(list_transform({kept}, lambda a: a.l), chr(10))"

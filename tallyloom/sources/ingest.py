@@ -64,10 +64,18 @@ def canonical(df: DataFrame, aliases: dict[str, Sequence[str]] = ALIASES, numeri
 
 
 def read_any(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """csv, parquet or json by suffix; a spreadsheet has no reader here."""
+    """csv, parquet, json or xlsx by suffix; the binary sheets before xlsx have no reader here."""
     kind = fmt or path.rsplit(".", 1)[-1].lower()
-    if kind in ("xlsx", "xls"):
-        raise ValueError("spreadsheets are not supported: export to csv")
+    if kind == "xlsx":
+        from tallyloom.sources.sheets import read_sheets, sheet_rows
+
+        # the header of one workbook; the rows are read by tasks
+        folder, name = path.rsplit("/", 1)
+        first = spark.read.format("binaryFile").load(path).select("content").first()
+        header = [h for h in (sheet_rows(bytes(first.content)) or [[]])[0] if h]
+        return read_sheets(spark, folder, header, name).drop("file", "row_index")
+    if kind == "xls":
+        raise ValueError("xls is not supported: save as xlsx or csv")
     if kind == "csv":
         return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     if kind in ("parquet", "json", "orc", "text"):
@@ -118,3 +126,27 @@ def from_payload(df: DataFrame, payload: str) -> DataFrame:
     text = lambda *paths: F.coalesce(*(F.try_variant_get(p, f"$.{x}", "string") for x in paths))
     number = lambda *paths: F.coalesce(*(F.try_variant_get(p, f"$.{x}", "long") for x in paths))
     return df.select(text("aweme_id", "video_id").alias("platform_video_id"), text("desc", "title").alias("title"), text("author.uid", "author_id").alias("author_id"), text("author.nickname", "author_name").alias("author_name"), number("statistics.digg_count", "stats.digg_count").alias("likes"), F.timestamp_seconds(F.nullif(number("create_time"), F.lit(0))).alias("published_at")).filter("platform_video_id is not null")
+
+
+def wanted_rows(df: DataFrame, key: str, remove: str = "remove") -> DataFrame:
+    """Rows with a filled key that are not marked to be removed; a missing mark keeps the row."""
+    keep = F.lit(True) if remove not in df.columns else F.coalesce(F.trim(F.col(remove).cast("string")), F.lit("")) != "1"
+    return df.filter(keep & F.col(key).isNotNull() & (F.trim(F.col(key).cast("string")) != ""))
+
+
+def with_auto_ids(df: DataFrame, key: str, row: str = "row_index") -> DataFrame:
+    """A blank key becomes ``auto_`` and the row's number in its file."""
+    filled = F.nullif(F.trim(F.col(key).cast("string")), F.lit(""))
+    return df.withColumn(key, F.coalesce(filled, F.concat(F.lit("auto_"), F.col(row).cast("string"))))
+
+
+def json_or_csv(spark: SparkSession, json_folder: str, csv_folder: str, key: str, columns: Sequence[str]) -> DataFrame:
+    """Latest JSON documents per key; of a folder without any the rows of its CSV files instead."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(json_folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = fs.listFiles(path, True) if fs.exists(path) else None
+    while files is not None and files.hasNext():
+        if files.next().getPath().getName().endswith(".json"):
+            d = latest_json_per_key(spark, json_folder, key)
+            return d.select(*(F.col(c) if c in d.columns else F.lit(None).cast("string").alias(c) for c in columns))
+    return read_csv_folder(spark, csv_folder, columns).select(*columns)

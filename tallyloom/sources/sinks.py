@@ -13,7 +13,9 @@ def write_parquet(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
-    """CSV with a header of sorted columns, lists and maps as JSON."""
+    """CSV with a header of sorted columns, lists and maps as JSON; without columns the header is ``empty``."""
+    if not df.columns:
+        df = df.select(F.lit(None).cast("string").alias("empty"))
     cols = [(F.to_json(c) if t.startswith(("array", "map", "struct")) else F.col(c)).alias(("﻿" if bom and i == 0 else "") + c) for i, (c, t) in enumerate(sorted(df.dtypes))]
     df.select(*cols).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
@@ -23,10 +25,15 @@ def write_by(df: DataFrame, column: str, path: str, fmt: str = "csv") -> None:
     df.write.mode("overwrite").partitionBy(column).option("header", True).format(fmt).save(path)
 
 
-def write_nested(df: DataFrame, key: str, path: str) -> None:
-    """One JSON document per key, its rows as an array in a folder of the key."""
+def write_nested(df: DataFrame, key: str, path: str, order: str | None = None, piece: int = 10_000) -> None:
+    """JSON documents per key, its rows as arrays in a folder of the key.
+
+    With ``order`` (a whole number) a document spans so many of its values, so
+    a key with a third of all rows is many documents; ``piece`` numbers them.
+    """
     rest = [c for c in df.columns if c != key]
-    df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("items")).write.mode("overwrite").partitionBy(key).json(path)
+    part = F.floor(F.col(order) / F.lit(piece)) if order else F.lit(0)
+    df.groupBy(key, part.alias("piece")).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("items")).write.mode("overwrite").partitionBy(key).json(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:
@@ -89,3 +96,28 @@ def quarantine(df: DataFrame, ok: str) -> tuple[DataFrame, DataFrame]:
     """Rows that hold a condition, and those that do not or cannot tell."""
     good = F.coalesce(F.expr(ok), F.lit(False))
     return df.filter(good), df.filter(~good)
+
+
+def write_both(df: DataFrame, path: str) -> None:
+    """The same rows as CSV with a byte-order mark and as parquet, computed once."""
+    df.write.mode("overwrite").parquet(f"{path}/parquet")
+    write_csv(df.sparkSession.read.parquet(f"{path}/parquet"), f"{path}/csv", bom=True)
+
+
+def write_decided(df: DataFrame, column: str, path: str) -> None:
+    """A CSV folder per decision and a JSON summary of the counts."""
+    write_by(df, column, f"{path}/by_{column}")
+    write_report(df.groupBy(column).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(column, "n")))).alias("counts")), f"{path}/summary")
+
+
+def write_failures(items: DataFrame, key: str, path: str) -> DataFrame:
+    """Items with an ``error_type`` go to a quarantine table; the others come back."""
+    failed = items.filter("error_type is not null")
+    failed.select(F.col(key).cast("string").alias("item_id"), "error_type", "message", F.current_timestamp().alias("failed_at")).write.mode("append").parquet(path)
+    return items.filter("error_type is null").drop("error_type", "message")
+
+
+def point_to_run(spark: SparkSession, root: str, run: str, summary: dict[str, object]) -> None:
+    """A one-row table that names the latest run and its summary; replaced as a whole."""
+    row = [(run, {k: str(v) for k, v in summary.items()})]
+    spark.createDataFrame(row, "run string, summary map<string,string>").coalesce(1).write.mode("overwrite").json(f"{root}/latest_run")

@@ -48,7 +48,6 @@ def test_lines_sections_grams(spark):
     assert _one(spark, X.dedup_lines(F.col("t")), "a\nA!\n\nb", "", None) == ["a\nb", "", ""]
     assert _one(spark, X.compose_sections([("x", F.col("t")), ("y", F.lower("t")), ("z", F.lit("k"))]), "Ab") == ["【x】\nAb\n\n【z】\nk"]
     assert sorted(_one(spark, X.ngrams(F.col("t"), 2, 3), "我爱你a好")[0]) == ["我爱", "我爱你", "爱你"]
-    assert sorted(_one(spark, X.word_bigrams(F.col("t")), "A b, c")[0]) == ["a b", "b c"]
 
 
 def test_json_and_urls(spark):

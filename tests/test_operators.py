@@ -135,7 +135,7 @@ def test_fuzzy_and_pictures():
 
 def test_ingest(spark, tmp_path):
     assert ingest.find_column(["Comment ID", "内容", "like_count"], ("commentid",)) == "Comment ID"
-    df = spark.createDataFrame([("1", "好", "x"), ("2", "", "3")], "cid string, `内容` string, `like count` string")
+    df = spark.createDataFrame([("1", "好", "x"), ("2", "", "3")], "cid string, `正文` string, `like count` string")
     got = ingest.canonical(df).orderBy("id").collect()
     assert [(r.id, r.raw_text, r.likes, r.user_id) for r in got] == [("1", "好", None, None), ("2", "", 3.0, None)]
     assert ingest.guess_text_column(df) == "cid"

@@ -254,7 +254,7 @@ def ols_hc3(df: DataFrame, y: str, xs: Sequence[str]) -> pd.DataFrame:
 
     Rows with a NULL are left out. ``xs`` are numeric columns, dummies included.
     """
-    d = df.select(F.col(y).cast("double").alias("y"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(xs))).dropna()
+    d = df.select(F.col(y).cast("double").alias("y"), *(F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(xs))).dropna()
     k = len(xs) + 1
 
     def design(f: pd.DataFrame) -> np.ndarray:
@@ -315,7 +315,7 @@ def negative_binomial(df: DataFrame, y: str, xs: Sequence[str], offset: str | No
 
     Fisher scoring for the coefficients and Newton steps for theta, on sums.
     """
-    d = df.select(F.col(y).cast("double").alias("y"), (F.col(offset).cast("double") if offset else F.lit(0.0)).alias("o"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(xs))).dropna().persist()
+    d = df.select(F.col(y).cast("double").alias("y"), (F.col(offset).cast("double") if offset else F.lit(0.0)).alias("o"), *(F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(xs))).dropna().persist()
     k = len(xs) + 1
     start = reduce_arrays(d, lambda f: {"y": f.y.sum(), "e": np.exp(f.o).sum(), "n": len(f)})
     beta = np.zeros(k)
@@ -346,6 +346,50 @@ def negative_binomial(df: DataFrame, y: str, xs: Sequence[str], offset: str | No
     return out
 
 
+def fractional_logit(df: DataFrame, y: str, xs: Sequence[str], rounds: int = 50) -> pd.DataFrame:
+    """Logit model of a share between 0 and 1: term, estimate, se, z, p; robust errors; attr n.
+
+    Newton steps on sums; rows with a NULL are left out.
+    """
+    d = df.select(F.col(y).cast("double").alias("y"), *(F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(xs))).dropna()
+    k = len(xs) + 1
+    beta = np.zeros(k)
+
+    def parts(f: pd.DataFrame, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = np.column_stack([np.ones(len(f)), *(f[f"x{i}"] for i in range(k - 1))])
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        return x, p, f.y.to_numpy() - p
+
+    for _ in range(rounds):
+
+        def sums(f: pd.DataFrame, beta=beta) -> dict:
+            x, p, e = parts(f, beta)
+            return {"h": (x * (p * (1 - p))[:, None]).T @ x, "g": x.T @ e, "n": len(f)}
+
+        a = reduce_arrays(d, sums)
+        step = np.linalg.pinv(a["h"]) @ a["g"]
+        beta = beta + step
+        if np.abs(step).max() < 1e-10:
+            break
+
+    def last(f: pd.DataFrame, beta=beta) -> dict:
+        x, p, e = parts(f, beta)
+        return {"h": (x * (p * (1 - p))[:, None]).T @ x, "m": (x * (e**2)[:, None]).T @ x}
+
+    a = {**a, **reduce_arrays(d, last)}
+    bread = np.linalg.pinv(a["h"])
+    se = np.sqrt(np.diag(bread @ a["m"] @ bread))
+    out = pd.DataFrame({"term": ["(Intercept)", *xs], "estimate": beta, "se": se, "z": beta / se, "p_value": [normal_p(z) for z in beta / se]})
+    out.attrs["n"] = int(a["n"][0])
+    return out
+
+
+def interactions(df: DataFrame, a: Sequence[str], b: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Products of each column of one set with each of the other, named ``a:b``."""
+    made = {f"{x}:{y}": F.col(f"`{x}`").cast("double") * F.col(f"`{y}`").cast("double") for x in a for y in b}
+    return df.withColumns(made), list(made)
+
+
 def anova_two_way(df: DataFrame, a: str, b: str, value: str) -> pd.DataFrame:
     """Two-way F tests, each main effect given the other (type II), and the interaction.
 

@@ -13,7 +13,7 @@ from tallyloom.operators import rollups as R
 from tallyloom.operators import stats as T
 from tallyloom.operators.sampling import stratified_split
 from tallyloom.plans.views import comments, labels
-from tallyloom.session import shared_folder, table
+from tallyloom.session import checkpointed, shared_folder, table
 from tallyloom.streaming import streams
 
 
@@ -111,12 +111,20 @@ def ols_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neg_binomial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Returns on quantity with lines as exposure."""
-    d = order_returns(spark, sf_dir).withColumns({"log_lines": F.log(F.col("lines").cast("double")), "q": F.col("quantity") / 10})
-    fit = T.negative_binomial(d, "returns", ["q"], "log_lines")
+    """Returns on quantity, urgency and their interaction, with lines as exposure."""
+    d = order_returns(spark, sf_dir).withColumns({"log_lines": F.log(F.col("lines").cast("double")), "q": F.col("quantity") / 10, "urgent": (F.col("o_orderpriority") == "1-URGENT").cast("double")})
+    d, both = T.interactions(d, ["q"], ["urgent"])
+    fit = T.negative_binomial(d, "returns", ["q", "urgent", *both], "log_lines")
     return _terms(spark, fit, {"theta": fit.attrs["theta"], "n": fit.attrs["n"]})
 
 
+def fractional_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Return rate as a share, on urgency and log price."""
+    d = order_returns(spark, sf_dir).withColumns({"log_price": F.log1p("o_totalprice"), "urgent": (F.col("o_orderpriority") == "1-URGENT").cast("double")})
+    fit = T.fractional_logit(d, "rate", ["urgent", "log_price"])
+    return _terms(spark, fit, {"n": fit.attrs["n"]})
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = labels(spark, sf_dir).filter("record_table = 'comments'").select(F.col("record_id").cast("long").alias("id"), F.coalesce("adjudicated", F.when(F.col("a") == F.col("b"), F.col("a"))).alias("label")).filter("label is not null").groupBy("id").agg(F.max("label").alias("label"))
     return comments(spark, sf_dir).filter("text is not null").join(lab, "id").select("id", "text", "label")
@@ -127,7 +135,10 @@ def _trained(spark: SparkSession, sf_dir: str, fit) -> DataFrame:
     t = ML.TfIdf(d.filter("split = 'train'"))
     model = fit(t.transform(d.filter("split = 'train'")))
     s = ML.scored(model, t.transform(d.filter("split = 'test'")))
-    return R.binary_metrics(s, "label", "pred_label")
+    # one row, kept so that the split can be let go
+    out = checkpointed(R.binary_metrics(s, "label", "pred_label"))
+    d.unpersist()
+    return out
 
 
 def tfidf_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +155,10 @@ def _stream_out(spark: SparkSession, df: DataFrame, mode: str = "append") -> Dat
     # results go where the cluster shares files
     out = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
     streams.run_now(df, f"{out}/data", f"{out}/log", mode).awaitTermination()
-    return spark.read.parquet(f"{out}/data")
+    done = checkpointed(spark.read.parquet(f"{out}/data"))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return done
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,4 +233,4 @@ ORACLE = {
     "winsorized_mean": "WITH q AS (SELECT quantile_cont(l_extendedprice, 0.01) AS lo, quantile_cont(l_extendedprice, 0.99) AS hi FROM lineitem) SELECT l_returnflag, round(avg(greatest(least(l_extendedprice, hi), lo)), 4) AS mean FROM lineitem, q GROUP BY 1",
     "median_imputed": "WITH c AS (SELECT id, source, like_count AS likes FROM comments QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, level DESC NULLS LAST, text DESC NULLS LAST, like_count DESC NULLS LAST) = 1) SELECT source, round(avg(coalesce(likes, (SELECT coalesce(median(likes), 0) FROM c))), 6) AS mean_likes FROM c GROUP BY 1",
 }
-QUERIES = {f.__name__: f for f in (chi_square, chi_square_p, kruskal_wallis, anova_oneway, anova_twoway, wilcoxon_holm, wilcoxon_w, spearman, winsorized_mean, median_imputed, ols_hc3, ols_robustness, neg_binomial, tfidf_logreg, tfidf_svm, stream_tumbling, stream_once)}
+QUERIES = {f.__name__: f for f in (chi_square, chi_square_p, kruskal_wallis, anova_oneway, anova_twoway, wilcoxon_holm, wilcoxon_w, spearman, winsorized_mean, median_imputed, ols_hc3, ols_robustness, neg_binomial, fractional_logit, tfidf_logreg, tfidf_svm, stream_tumbling, stream_once)}

@@ -42,25 +42,55 @@ def once_only(df: DataFrame, at: str, keys: Sequence[str], late: str = "1 hour")
     return df.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def upsert(path: str, keys: Sequence[str], version: Sequence[str]) -> Callable[[DataFrame, int], None]:
+#: Parts of an upserted table by key; a batch rewrites only those it touches.
+BUCKETS = 64
+
+
+def _versions(spark: SparkSession, path: str) -> dict[str, list[tuple[int, str]]]:
+    """Whole versions (batch, folder) of each bucket, oldest first."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out: dict[str, list[tuple[int, str]]] = {}
+    for batch in fs.listStatus(root) if fs.exists(root) else []:
+        folder = batch.getPath()
+        # a batch that failed half-way left no mark of success
+        if folder.getName().startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
+            for s in fs.listStatus(folder):
+                if "=" in s.getPath().getName():
+                    out.setdefault(s.getPath().getName(), []).append((int(folder.getName()[6:]), s.getPath().toString()))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """An upserted table as of its last whole batch; None before the first."""
+    newest = [v[-1][1] for v in _versions(spark, path).values()]
+    return spark.read.parquet(*newest) if newest else None
+
+
+def upsert(path: str, keys: Sequence[str], version: Sequence[str], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: last write wins by key; a batch replayed changes nothing.
 
-    Versions alternate between two folders, so a failed write leaves the last one whole.
+    The table lies in buckets by key. A batch writes new versions of the
+    buckets it touches and leaves the others; the last version before it stays
+    until the next, so a failed write leaves the table whole.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        now = batch
-        done = [s.getPath().toString() for s in fs.listStatus(fs_path)] if fs.exists(fs_path) else []
-        done = sorted((p for p in done if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p + "/_SUCCESS"))), key=lambda p: int(p.rsplit("=", 1)[-1]))
-        done = [p for p in done if int(p.rsplit("=", 1)[-1]) < batch_id]
-        if done:
-            now = spark.read.parquet(done[-1]).unionByName(batch)
-        latest(now, keys, version).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        for p in done[:-1]:
-            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p), True)
+        number = F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("upsert_bucket")
+        batch = batch.persist()
+        touched = {f"upsert_bucket={r[0]}" for r in batch.select(number).distinct().collect()}
+        before = {k: [x for x in v if x[0] < batch_id] for k, v in _versions(spark, path).items() if k in touched}
+        old = [v[-1][1] for v in before.values() if v]
+        now = spark.read.parquet(*old).unionByName(batch) if old else batch
+        latest(now, keys, version).withColumn("upsert_bucket", number).repartition("upsert_bucket").write.mode("overwrite").partitionBy("upsert_bucket").parquet(f"{path}/batch={batch_id}")
+        batch.unpersist()
+        jvm = spark.sparkContext._jvm
+        fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for v in before.values():
+            for _, folder in v[:-1]:
+                fs.delete(jvm.org.apache.hadoop.fs.Path(folder), True)
 
     return apply
 

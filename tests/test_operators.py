@@ -103,6 +103,27 @@ def test_negative_binomial_recovers(spark):
     assert fit.estimate.tolist() == pytest.approx([0.5, 0.7], abs=0.08) and fit.attrs["theta"] == pytest.approx(2.0, rel=0.15)
 
 
+def test_fractional_logit_and_interactions(spark):
+    rng = np.random.default_rng(5)
+    f = pd.DataFrame({"a": rng.integers(0, 2, 3000).astype(float), "x": rng.normal(size=3000)})
+    d, names = T.interactions(spark.createDataFrame(f.assign(y=0.0)), ["a"], ["x"])
+    assert names == ["a:x"] and d.filter(F.abs(F.col("a:x") - F.col("a") * F.col("x")) > 1e-12).count() == 0
+    mu = 1 / (1 + np.exp(-(0.3 - 0.8 * f.x + 0.5 * f.a * f.x)))
+    f["y"] = rng.beta(5 * mu, 5 * (1 - mu))
+    d, names = T.interactions(spark.createDataFrame(f), ["a"], ["x"])
+    fit = T.fractional_logit(d, "y", ["a", "x", *names])
+    design = np.column_stack([np.ones(3000), f.a, f.x, f.a * f.x])
+    beta = np.zeros(4)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-design @ beta))
+        beta += np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design, design.T @ (f.y - p))
+    assert fit.estimate.tolist() == pytest.approx(beta.tolist(), abs=1e-7)
+    p = 1 / (1 + np.exp(-design @ beta))
+    bread = np.linalg.inv((design * (p * (1 - p))[:, None]).T @ design)
+    meat = (design * ((f.y - p) ** 2).to_numpy()[:, None]).T @ design
+    assert fit.se.tolist() == pytest.approx(np.sqrt(np.diag(bread @ meat @ bread)).tolist(), rel=1e-7)
+
+
 def test_two_way_anova_by_residuals(spark):
     rng = np.random.default_rng(3)
     f = pd.DataFrame({"a": rng.choice(list("xyz"), 300), "b": rng.choice(list("uv"), 300)})
@@ -170,8 +191,10 @@ def test_upsert_stream(spark, tmp_path):
     for rows in ([(1, 1, "a"), (2, 1, "b")], [(1, 2, "c"), (1, 1, "old")]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
         streams.tail(spark, src, schema).writeStream.foreachBatch(streams.upsert(out, ["k"], ["ver"])).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    last = sorted(x for x in os.listdir(out) if x.startswith("batch="))[-1]
-    assert {(r.k, r.x) for r in spark.read.parquet(f"{out}/{last}").collect()} == {(1, "c"), (2, "b")}
+    assert {(r.k, r.x) for r in streams.current(spark, out).collect()} == {(1, "c"), (2, "b")}
+    # the second batch rewrote the bucket of its key alone
+    assert len(os.listdir(f"{out}/batch=0")) > 1 and sum("=" in x for x in os.listdir(f"{out}/batch=1")) == 1
+    assert streams.current(spark, str(tmp_path / "none")) is None
 
 
 def test_expansion_reaches_four_characters(spark):

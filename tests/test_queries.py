@@ -21,7 +21,8 @@ def test_agrees_with_sql(spark, name):
 #: Columns that are never NULL and a bound on the rows, for what SQL does not say.
 SHAPES = {
     "chunk_dedup_fuzzy": (("text_record_id", "text"), 1),
-    "neg_binomial": (("term", "estimate", "theta"), 2),
+    "fractional_logit": (("term", "estimate", "se", "n"), 3),
+    "neg_binomial": (("term", "estimate", "theta"), 4),
     "ols_hc3": (("term", "estimate", "se", "p_value", "r2"), 3),
     "ols_robustness": (("model", "term", "estimate", "se"), 12),
     "p5_formats": (("record_table", "n_records", "n_readable", "n_several"), 12),

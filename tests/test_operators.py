@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,27 @@ def test_timeline_blocks(spark):
     assert S.timeline_blocks(df.limit(0), ["v"], ["s", "e"], ["l"], "s", "e", "d").count() == 0
 
 
+def test_sequences_do_not_depend_on_their_blocks(spark):
+    rng = random.Random(6)
+    rows, at = [], 0.0
+    for i in range(200):
+        at += rng.choice([0.0, 0.1, 0.5, 1.0])
+        rows.append((rng.choice("vw"), i if rng.random() < 0.9 else i + 1000, at, at + rng.choice([0.1, 1.0, 4.0]), rng.choice("AB"), rng.choice([None, 1, 3, 7, 1 << 40])))
+    df = spark.createDataFrame(rows, "v string, i int, s double, e double, a string, h long").withColumn("d", F.col("e") - F.col("s"))
+    seg = lambda block: sorted((r.v, r.i, r.segment) for r in S.adjacent_segments(df, ["v"], ["i"], "h", 2, block).collect())
+    tl = lambda block: sorted(tuple(r) for r in S.timeline_blocks(df, ["v"], ["i"], ["a"], "s", "e", "d", 0.2, block).drop("duration_seconds").collect())
+    assert seg(3) == seg(64) == seg(10**6) and tl(3) == tl(50) == tl(10**6)
+    # a plain loop
+    want = []
+    for v in "vw":
+        last, n = None, 0
+        for r in sorted((r for r in rows if r[0] == v), key=lambda r: r[1]):
+            n += last is None or r[5] is None or (last ^ r[5]).bit_count() > 2
+            last = r[5]
+            want.append((v, r[1], n))
+    assert seg(7) == sorted(want)
+
+
 def test_breaker(spark):
     df = spark.createDataFrame([("u", i, f) for i, f in enumerate([1, 1, 1, 0, 1])], "u string, i int, f int")
     got = S.breaker_states(df, "u", ["i"], F.col("f") == 1).orderBy("i").collect()

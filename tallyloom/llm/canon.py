@@ -32,6 +32,7 @@ _FOLD = str.maketrans(LOOKALIKES)
 #: Back from a Latin letter to the first letter of a script that looks like it.
 _BACK = tuple((re.compile(f"[{lo}-{hi}]"), str.maketrans({v: k for k, v in reversed(list(t.items()))})) for lo, hi, t in (("\u0400", "\u052f", CYRILLIC), ("\u0370", "\u03ff", GREEK)))
 _OTHER_SCRIPT = re.compile("[\u0370-\u03ff\u0400-\u052f]")
+_RARE = re.compile("[" + "".join(OTHER) + "]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _LATIN_LETTER = re.compile("[A-Za-z]")
 #: Latin letters that no letter of another script looks like.
@@ -62,7 +63,8 @@ def segments() -> re.Pattern:
     if _segment is None:
         # marks and vowels that compose with what stands before them
         joins = set()
-        for n in range(sys.maxunicode + 1):
+        # what composes beyond the basic plane lies there with both its parts
+        for n in range(0x10000):
             parts = unicodedata.decomposition(chr(n)).split()
             if len(parts) == 2 and parts[0][0] != "<":
                 joins.add(chr(int(parts[1], 16)))
@@ -137,7 +139,7 @@ def readable(text: str | None) -> str | None:
     t = segments().sub(lambda m: _normalized(m[0], False), text)
     if not _OTHER_SCRIPT.search(t):
         # what is left are look-alikes of rare scripts
-        return t.translate(_FOLD)
+        return t.translate(_FOLD) if _RARE.search(t) else t
     return _LETTERS.sub(lambda m: _at_home(m[0]) if _LATIN_LETTER.search(m[0]) and not m[0].isascii() else m[0], t)
 
 

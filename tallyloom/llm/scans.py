@@ -70,6 +70,7 @@ _PAGE = tuple(
         rf"({_NUM})\s*[页頁]",
     )
 )
+_DIGIT = re.compile("[0-9OolI]")
 _BARE = re.compile(r"[0-9]{1,4}")
 _FILLED = re.compile(r"([\s\-–—·•~∙*.=_]{1,2})\1{2,}")
 _SENTENCE = re.compile(r"[。！？；，、!?;,:]|\.(\s|$)")
@@ -143,7 +144,7 @@ class Page:
             if len(s) > 24:
                 # longer only by runs of dashes, dots or spaces
                 s = _FILLED.sub(r"\1", s) if _FILLED.search(s) else ""
-            if not 0 < len(s) <= 24:
+            if not 0 < len(s) <= 24 or not _DIGIT.search(s):
                 continue
             # a letter of another script may stand for the Latin one
             s = canonical(s)

@@ -24,6 +24,8 @@ from tallyloom.session import checkpointed
 
 #: Positions of one block of an entity's sequence.
 BLOCK = 4096
+#: Pairs of a video and an earlier run that are broadcast at most.
+MOST_STALE = 200_000
 #: Symbols cycle through so many code points from FIRST on; neighbours differ.
 FIRST, SYMBOLS = 0x4E00, 0x4000
 RUN = re.compile(r"(.)\1*", re.S)
@@ -126,9 +128,14 @@ def collapse_runs(slices: DataFrame, bits: int = 8, gap: float = 1.0, block: int
     h = F.when(F.length(digits) == 16, F.shiftleft(half(1), 32).bitwiseOR(half(9)))
     rows = slices.select(video_key(F.col("video_id")).alias("video_id"), "run_name", "segment_index", F.col("start_second").cast("double").alias("start_second"), F.col("end_second").cast("double").alias("end_second"), h.alias("h"))
     rows = rows.filter("video_id is not null and run_name is not null and segment_index is not null")
-    # the latest run of each video first: what earlier runs hold is neither sorted nor matched
-    latest = rows.groupBy("video_id").agg(F.max("run_name").alias("run_name"))
-    rows = rows.join(latest, ["video_id", "run_name"], "left_semi").withColumn("block", F.floor(F.col("segment_index") / F.lit(block)).cast("long"))
+    # earlier runs go first: what they hold is neither sorted nor matched. They
+    # are few beside the rows, so that no row is shuffled for it up to the bound
+    pairs = checkpointed(rows.select("video_id", "run_name").distinct())
+    latest = pairs.groupBy("video_id").agg(F.max("run_name").alias("last"))
+    stale = pairs.join(latest, "video_id").filter("run_name < last").select("video_id", "run_name")
+    if stale.count() <= MOST_STALE:
+        stale = F.broadcast(stale)
+    rows = rows.join(stale, ["video_id", "run_name"], "left_anti").withColumn("block", F.floor(F.col("segment_index") / F.lit(block)).cast("long"))
     ordered = rows.repartition("video_id", "run_name", "block").sortWithinPartitions("video_id", "run_name", "block", "segment_index", "start_second", "end_second", "h")
     # runs only, read three times below
     parts = checkpointed(ordered.mapInArrow(block_runs(bits, gap, singles), _OUT))

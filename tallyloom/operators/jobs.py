@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import signal
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -117,11 +118,31 @@ def with_cooldown(events: DataFrame, key: str, order: str, at: str, failed: str,
     return d.withColumn("available", before.isNull() | (F.col(at) >= before)).drop("_f", "_era")
 
 
-def isolated(items: DataFrame, fn: Callable[[object], object], key: str, value: str) -> DataFrame:
-    """``key``, ``result``, ``error_type``, ``message``: an item that fails does not end the job.
+def snapshot_due(now: DataFrame, last: DataFrame, at: float, last_at: float, gap: float) -> bool:
+    """Whether to export: enough time has passed and the signature has changed."""
+    return at - last_at >= gap and now.exceptAll(last).count() > 0
+
+
+def _limited(fn: Callable[[object], object], value: object, seconds: float) -> object:
+    """The function's value, or a TimeoutError once the seconds are over."""
+
+    def over(*_: object) -> None:
+        raise TimeoutError(f"longer than {seconds:g} s")
+
+    before = signal.signal(signal.SIGALRM, over)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        return fn(value)
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def isolated(items: DataFrame, fn: Callable[[object], object], key: str, value: str, seconds: float = 600.0) -> DataFrame:
+    """``key``, ``result``, ``error_type``, ``message``: an item that fails or hangs does not end the job.
 
     ``fn`` takes a value and returns a string or None; what it raises is kept
-    with the item.
+    with the item, and so is a TimeoutError after ``seconds``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +150,7 @@ def isolated(items: DataFrame, fn: Callable[[object], object], key: str, value:
             rows = []
             for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 try:
-                    r = fn(v)
+                    r = _limited(fn, v, seconds)
                     rows.append((k, None if r is None else str(r), None, None))
                 except Exception as e:  # whatever one item raises is its own
                     rows.append((k, None, type(e).__name__, str(e)))

@@ -53,8 +53,11 @@ def stratified_sample(df: DataFrame, stratum: str, row_id: str, n: int, seed: in
     return ranked.join(quotas.select(stratum, "quota"), stratum).filter(F.col("_n") <= F.col("quota")).drop("_h", "_n", "quota")
 
 
-def stratified_split(df: DataFrame, label: str, row_id: str, ratios: Sequence[float] = (0.8, 0.1, 0.1), names: Sequence[str] = ("train", "valid", "test"), seed: int = 42) -> DataFrame:
-    """Add ``split``: each label's rows in hash order, cut at the rounded shares."""
+def stratified_split(df: DataFrame, label: str, row_id: str, ratios: Sequence[float] = (0.8, 0.1, 0.1), names: Sequence[str] = ("train", "valid", "test"), seed: int = 42, least: int = 3) -> DataFrame:
+    """Add ``split``: each label's rows in hash order, cut at the rounded shares.
+
+    A label with fewer than ``least`` rows, one for each part, is an error.
+    """
     if abs(sum(ratios) - 1.0) > 1e-8 or min(ratios) <= 0:
         raise ValueError("ratios must be positive and sum to one")
     n = F.count("*").over(Window.partitionBy(label))
@@ -63,7 +66,7 @@ def stratified_split(df: DataFrame, label: str, row_id: str, ratios: Sequence[fl
     for name, r in list(zip(names, ratios))[-2::-1]:
         share = sum(ratios[: list(names).index(name) + 1])
         cut = F.when(rank <= F.floor(n * F.lit(round(share, 9)) + F.lit(0.5)), name).otherwise(cut)
-    return df.withColumn("split", cut)
+    return df.withColumn("split", F.when(n < least, F.raise_error(F.concat(F.lit("too few rows of label "), F.coalesce(F.col(label).cast("string"), F.lit("NULL")))).cast("string")).otherwise(cut))
 
 
 def batches(df: DataFrame, order: Sequence[str], size: int, part: Sequence[str] = ()) -> DataFrame:

@@ -80,7 +80,8 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adjudicated rows split 80, 10, 10 within each label."""
     d = labels(spark, sf_dir).filter("adjudicated is not null").select(F.concat_ws("/", "record_table", "record_id").alias("rid"), "adjudicated").distinct()
-    return P.stratified_split(d, "adjudicated", "rid").select("rid", "adjudicated", "split")
+    # the smallest tables hold a label or two
+    return P.stratified_split(d, "adjudicated", "rid", least=0).select("rid", "adjudicated", "split")
 
 
 def task_batches(spark: SparkSession, sf_dir: str) -> DataFrame:

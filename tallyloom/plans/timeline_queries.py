@@ -5,7 +5,6 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import text as X
 from tallyloom.functions.keys import blank_to_null
 from tallyloom.operators import sequences as S
+from tallyloom.operators.pictures import picture_features
 from tallyloom.plans.views import SQL_SLICES, SQL_VIDEOS, slices, sql_lines, sql_sections, videos
 from tallyloom.session import table
 
@@ -164,21 +164,11 @@ def chunk_dedup_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir).filter("ocr_text is not null").select("text_record_id", "ocr_text").mapInPandas(run, "text_record_id long, text string")
 
 
-def picture_hash(pixels: np.ndarray) -> int:
-    """64-bit hash of a 32 by 32 grey picture: low cosine frequencies against their median."""
-    n = 32
-    k, x = np.arange(n)[:, None], np.arange(n)[None]
-    basis = np.sqrt(2 / n) * np.cos(np.pi * (2 * x + 1) * k / (2 * n))
-    basis[0] /= np.sqrt(2)
-    low = (basis @ pixels.astype(float) @ basis.T)[:8, :8].ravel()
-    bits = low > np.median(low[1:])
-    return int("".join("1" if b else "0" for b in bits), 2)
-
-
-def sharpness(pixels: np.ndarray) -> float:
-    """Variance of the four-neighbour Laplacian, edges padded."""
-    p = np.pad(pixels.astype(float), 1, mode="edge")
-    return float((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]).var())
+def vector_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors drawn as pictures of 8 by 8 tiles: hash and sharpness of each."""
+    e = table(spark, sf_dir, "embeddings")
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.element_at("embedding", (F.floor(i / 128) * 8 + F.floor(F.pmod(i, F.lit(32)) / 4) + 1).cast("int")) * 100)
+    return picture_features(e.select("vec_id", pixels.alias("pixels")).dropDuplicates(["vec_id"]), "vec_id", "pixels").withColumn("sharpness", F.round("sharpness", 4))
 
 
 def embedding_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,4 +232,4 @@ ORACLE = {
         c AS (SELECT user_id, sum(f) OVER (PARTITION BY user_id, era ORDER BY ts, event_id) AS n FROM e)
         SELECT user_id, CAST(max(n) AS BIGINT) AS longest, CAST(sum(CASE WHEN n >= 3 THEN 1 ELSE 0 END) AS BIGINT) AS n_open FROM c GROUP BY 1""",
 }
-QUERIES = {f.__name__: f for f in (frame_segments, timeline_blocks, timeline_summary, representative_slice, slice_ids, latest_run, pending_slices, status_ladder, unresolved_failures, compression, ocr_rollup, text_material, composed_sections, line_dedup, chunk_dedup_fuzzy, embedding_frames, breaker_islands)}
+QUERIES = {f.__name__: f for f in (frame_segments, timeline_blocks, timeline_summary, representative_slice, slice_ids, latest_run, pending_slices, status_ladder, unresolved_failures, compression, ocr_rollup, text_material, composed_sections, line_dedup, chunk_dedup_fuzzy, vector_pictures, embedding_frames, breaker_islands)}

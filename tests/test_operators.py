@@ -14,7 +14,8 @@ from tallyloom.operators import sampling as P
 from tallyloom.operators import sequences as S
 from tallyloom.operators import stats as T
 from tallyloom.plans.comment_queries import expanded_terms
-from tallyloom.plans.timeline_queries import fuzzy_chunks, picture_hash, sharpness
+from tallyloom.operators import pictures
+from tallyloom.plans.timeline_queries import fuzzy_chunks
 from tallyloom.sources import ingest, sinks
 from tallyloom.streaming import streams
 
@@ -74,6 +75,13 @@ def test_largest_remainder_and_split(spark):
         P.stratified_split(rows, "y", "id", (0.5, 0.1, 0.1))
 
 
+def test_split_needs_a_row_for_each_part(spark):
+    df = spark.createDataFrame([(i, i % 40 == 0) for i in range(80)], "i int, y boolean")
+    with pytest.raises(Exception, match="too few rows of label true"):
+        P.stratified_split(df, "y", "i").collect()
+    assert P.stratified_split(df, "y", "i", least=2).filter("split = 'train'").count() == 64
+
+
 def test_quantile_bins_match_qcut(spark):
     x = [1, 1, 1, 1, 2, 3, 4, 5, 6, 7, 8, 8, 9]
     got = [r.bin for r in P.quantile_bins(spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, v int"), "v").orderBy("i").collect()]
@@ -173,7 +181,30 @@ def test_fuzzy_and_pictures():
     long = "这是一段足够长的文字用来测试包含关系是否被识别出来没有问题"
     assert fuzzy_chunks(["a", "A.", long[:25], long, ""]) == ["a", long]
     p = np.arange(1024).reshape(32, 32) % 251
-    assert picture_hash(p) == picture_hash(p * 2) and sharpness(np.ones((5, 5))) == 0
+
+
+def test_pictures_by_definition(spark):
+    rng = np.random.default_rng(4)
+    p = rng.random((3, 32, 32)) * 255
+    got = pictures.picture_hashes(p.reshape(3, -1))
+    for k in range(3):
+        c = np.zeros((8, 8))
+        for u in range(8):
+            for v in range(8):
+                wave = np.outer(np.cos(np.pi * u * (2 * np.arange(32) + 1) / 64), np.cos(np.pi * v * (2 * np.arange(32) + 1) / 64))
+                c[u, v] = (p[k] * wave).sum() * (1 if u else 0.5**0.5) * (1 if v else 0.5**0.5) / 16
+        flat = c.ravel()
+        assert f"{got[k]:064b}" == "".join("1" if x > np.median(flat[1:]) else "0" for x in flat)
+    lap = np.zeros((4, 6))
+    q = rng.random((1, 4, 6))
+    e = np.pad(q[0], 1, mode="edge")
+    for i in range(4):
+        for j in range(6):
+            lap[i, j] = e[i, j + 1] + e[i + 2, j + 1] + e[i + 1, j] + e[i + 1, j + 2] - 4 * e[i + 1, j + 1]
+    assert pictures.sharpness(q)[0] == pytest.approx(lap.var()) and pictures.sharpness(np.ones((2, 5, 5))).tolist() == [0, 0]
+    rows = [(1, p[0].ravel().tolist()), (2, None), (3, [1.0]), (4, [None] * 1024)]
+    out = {r.id: (r.phash_hex, r.sharpness) for r in pictures.picture_features(spark.createDataFrame(rows, "id long, px array<double>"), "id", "px").collect()}
+    assert out[1][0] == f"{got[0]:016x}" and [out[i] for i in (2, 3, 4)] == [(None, None)] * 3
 
 
 def test_ingest(spark, tmp_path):

@@ -2,6 +2,7 @@
 
 import json
 import sqlite3
+import time
 import zipfile
 
 import pytest
@@ -91,17 +92,21 @@ def test_both_forms_and_decisions(spark, tmp_path):
 
 
 def _odd(v):
+    if v == 5:
+        time.sleep(30)
     if v % 2 == 0:
         raise ValueError(f"even {v}")
     return v * 10
 
 
 def test_items_fail_alone(spark, tmp_path):
-    out = J.isolated(spark.range(6).select("id", F.col("id").alias("v")), _odd, "id", "v")
+    out = J.isolated(spark.range(6).select("id", F.col("id").alias("v")), _odd, "id", "v", 0.5)
     good = sinks.write_failures(out, "id", str(tmp_path / "bad"))
-    assert sorted((r.id, r.result) for r in good.collect()) == [("1", "10"), ("3", "30"), ("5", "50")]
+    assert sorted((r.id, r.result) for r in good.collect()) == [("1", "10"), ("3", "30")]
     bad = spark.read.parquet(str(tmp_path / "bad"))
-    assert sorted((r.item_id, r.error_type, r.message) for r in bad.collect()) == [(str(i), "ValueError", f"even {i}") for i in (0, 2, 4)]
+    assert sorted((r.item_id, r.error_type, r.message) for r in bad.collect()) == [*((str(i), "ValueError", f"even {i}") for i in (0, 2, 4)), ("5", "TimeoutError", "longer than 0.5 s")]
+    one, two = spark.createDataFrame([(3, 9)], "n int, newest int"), spark.createDataFrame([(4, 9)], "n int, newest int")
+    assert [J.snapshot_due(a, one, at, 0, 60) for a, at in ((one, 100), (two, 30), (two, 60))] == [False, False, True]
 
 
 def test_cooldown(spark):

@@ -27,6 +27,7 @@ SHAPES = {
     "ols_robustness": (("model", "term", "estimate", "se"), 12),
     "p5_formats": (("record_table", "n_records", "n_readable", "n_several"), 12),
     "p5_found": (("record_table", "record_id", "epoch_ms"), 300),
+    "vector_pictures": (("vec_id", "phash_hex", "sharpness"), 500),
     "tfidf_logreg": (("tp", "fp", "fn", "tn", "accuracy"), 1),
     "tfidf_svm": (("tp", "fp", "fn", "tn", "accuracy"), 1),
 }

@@ -149,3 +149,11 @@ def flat_pages(pages: DataFrame, payload: str, items: str = "$.data") -> DataFra
     filled = lambda c: F.when(~c.isin("{}", "null"), c)
     mixed = F.try_element_at(F.from_json(F.get_json_object("_item", "$.aweme_mix_info.mix_items"), "array<string>"), F.lit(1))
     return d.withColumn("record", F.coalesce(filled(F.get_json_object("_item", "$.aweme_info")), mixed)).filter("record is not null").drop("_item")
+
+
+def matching(df: DataFrame, wanted: dict[str, str | None]) -> DataFrame:
+    """Rows whose columns, trimmed and in lower case, are as wanted; a condition that is not given does not filter."""
+    for column, value in wanted.items():
+        if value is not None and value.strip():
+            df = df.filter(F.lower(F.trim(F.col(column))) == value.strip().lower())
+    return df

@@ -9,8 +9,8 @@ from tallyloom.operators.instants import even_span, normalize_instants
 from tallyloom.session import table
 
 def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # one row per capture site: a table of the project's configuration, fixed in size
-    return F.broadcast(table(spark, sf_dir, "capture_sites").groupBy("capture_site").agg(F.min("tz_name").alias("tz_name"), F.min("date_order").alias("date_order")))
+    # one row per capture site; the planner broadcasts it if its size allows
+    return table(spark, sf_dir, "capture_sites").groupBy("capture_site").agg(F.min("tz_name").alias("tz_name"), F.min("date_order").alias("date_order"))
 
 
 def _instants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions import lexicon as L
 from tallyloom.functions import records as C
 from tallyloom.functions import text as X
 from tallyloom.operators import jobs as J
+from tallyloom.plans.comment_queries import _sent
 from tallyloom.plans.views import SQL_COMMENTS, SQL_SLICES, SQL_VIDEOS, comments, slices, videos
 from tallyloom.session import table
 
@@ -79,10 +81,10 @@ def payload_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids and lengths of a source's documents in id order, as a digest per block; ``report_texts`` holds the texts."""
-    d = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "source", F.length("text").alias("n")).distinct()
+    """Ids and texts of a source's documents in id order, as a digest per block; ``report_texts`` holds the texts."""
+    d = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "source", F.md5("text").alias("n")).distinct()
     # a report line per document: a digest per slice of ids keeps any group small
-    part = d.groupBy("source", F.floor(F.col("doc_id") / 512).alias("block")).agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "n"))), lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["n"].cast("string"))), "\n")).alias("digest"), F.count("*").alias("n_documents"))
+    part = d.groupBy("source", F.floor(F.col("doc_id") / 512).alias("block")).agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "n"))), lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["n"])), "\n")).alias("digest"), F.count("*").alias("n_documents"))
     return part.withColumn("block", F.col("block").cast("long"))
 
 
@@ -96,12 +98,41 @@ def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def video_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Videos by optional conditions: those not given do not filter."""
-    wanted = {"platform": "douyin", "author_name": None}
-    d = videos(spark, sf_dir)
-    for c, v in wanted.items():
-        if v:
-            d = d.filter(F.lower(F.trim(c)) == v)
-    return d.select("id")
+    return C.matching(videos(spark, sf_dir), {"platform": "douyin", "author_name": None}).select("id")
+
+
+def confidence_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices by arousal read as a confidence: what is no level is low."""
+    return slices(spark, sf_dir).groupBy(X.confidence_label(F.col("arousal_label")).alias("confidence")).agg(F.count("*").alias("n"))
+
+
+def rebuilt_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of anger of every comment: as given for odd ids, for even ones from the label and its own."""
+    d = comments(spark, sf_dir).select("id", (1.0 - L.polarity(F.coalesce("text", F.lit("")))).alias("a"))
+    d = d.withColumns({"label": (F.col("a") >= 0.5).cast("int"), "prob": F.greatest("a", 1.0 - F.col("a")), "given": F.when(F.col("id") % 2 == 1, F.col("a"))})
+    return d.select("id", F.round(X.anger_probability(F.col("label"), F.col("prob"), F.col("given")), 9).alias("anger_prob"))
+
+
+def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses from lines of which some are blank, comments or without a scheme; in order, each once."""
+    k = F.col("s_suppkey")
+    line = F.when(k % 5 == 0, F.lit("  ")).when(k % 5 == 1, F.concat(F.lit("# off "), k.cast("string"))).when(k % 5 == 2, F.concat(F.lit(" host"), (k % 50).cast("string"), F.lit(":8080 "))).otherwise(F.concat(F.lit("socks5://u:p@host"), (k % 50).cast("string"), F.lit(":1080")))
+    d = table(spark, sf_dir, "supplier").select(k, X.endpoint(line).alias("address")).filter("address is not null")
+    return d.groupBy("address").agg(F.min("s_suppkey").alias("place"))
+
+
+def slice_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts of slices from whole milliseconds back to seconds."""
+    d = slices(spark, sf_dir).select("video_id", F.floor(F.col("start_second") * 1000).alias("ms"))
+    return d.groupBy("video_id").agg(F.round(F.max(C.millis_to_seconds(F.col("ms"))), 3).alias("last_start"))
+
+
+def cooled_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Videos whose last change lies before the middle of all changes, missing ones included, as resources that may be used again."""
+    v = videos(spark, sf_dir).select("id", F.col("updated_at").cast("timestamp").alias("t"))
+    middle = v.agg(F.timestamp_micros(F.floor((F.min(F.unix_micros("t")) + F.max(F.unix_micros("t"))) / 2).cast("long"))).scalar()
+    return v.filter(C.available(F.col("t"), middle, F.col("id") % 7 == 0)).select("id")
+
 
 
 def author_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,9 +157,16 @@ ORACLE = {
     "payload_words": """WITH t AS (SELECT DISTINCT id, lower(coalesce(raw_json, '')) AS r, raw_json FROM comments) SELECT CAST(contains(r, '洺津') OR contains(r, '"lv": 2') AS INT) AS hit, count(*) AS n FROM t GROUP BY 1""",
     "payload_levels": """WITH c AS (SELECT id, level, raw_json FROM comments QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, level DESC NULLS LAST) = 1)
         SELECT level, TRY_CAST(json_extract_string(CASE WHEN json_valid(raw_json) THEN raw_json END, '$.lv') AS INT) AS lv, count(*) AS n FROM c GROUP BY 1, 2""",
-    "report_by_source": "WITH d AS (SELECT DISTINCT doc_id, source, length(text) AS n FROM documents WHERE text IS NOT NULL) SELECT source, CAST(floor(doc_id / 512) AS BIGINT) AS block, md5(string_agg(doc_id || ':' || n, chr(10) ORDER BY doc_id, n)) AS digest, count(*) AS n_documents FROM d GROUP BY 1, 2",
+    "report_by_source": "WITH d AS (SELECT DISTINCT doc_id, source, md5(text) AS n FROM documents WHERE text IS NOT NULL) SELECT source, CAST(floor(doc_id / 512) AS BIGINT) AS block, md5(string_agg(doc_id || ':' || n, chr(10) ORDER BY doc_id, n)) AS digest, count(*) AS n_documents FROM d GROUP BY 1, 2",
     "report_texts": "WITH d AS (SELECT DISTINCT doc_id, source, text FROM documents WHERE text IS NOT NULL) SELECT source, CAST(floor(doc_id / 512) AS BIGINT) AS block, count(*) AS n_documents, string_agg('## ' || coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10), chr(10) ORDER BY doc_id NULLS FIRST, text) AS report FROM d GROUP BY 1, 2",
+    "confidence_levels": f"WITH {SQL_SLICES} SELECT CASE WHEN lower(trim(arousal_label)) IN ('low', 'medium', 'high') THEN lower(trim(arousal_label)) ELSE 'low' END AS confidence, count(*) AS n FROM s GROUP BY 1",
+    "rebuilt_probabilities": f"""WITH {SQL_COMMENTS}, t AS (SELECT id, coalesce(text, '') AS text FROM c)
+        SELECT id, round(1.0::DOUBLE - CASE WHEN trim(text) = '' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE / (1.0::DOUBLE + exp(-{_sent(L.POLARITY)})) END, 9) AS anger_prob FROM t""",
+    "endpoints": """WITH l AS (SELECT s_suppkey AS k, CASE s_suppkey % 5 WHEN 0 THEN '  ' WHEN 1 THEN '# off ' || s_suppkey WHEN 2 THEN ' host' || (s_suppkey % 50) || ':8080 ' ELSE 'socks5://u:p@host' || (s_suppkey % 50) || ':1080' END AS l FROM supplier),
+        a AS (SELECT k, CASE WHEN contains(l, '://') THEN trim(l) ELSE 'http://' || trim(l) END AS address FROM l WHERE trim(l) <> '' AND NOT starts_with(trim(l), '#')) SELECT address, min(k) AS place FROM a GROUP BY 1""",
+    "slice_seconds": f"WITH {SQL_SLICES} SELECT video_id, round(max(round(floor(start_second * 1000) / 1000, 3)), 3) AS last_start FROM s GROUP BY 1",
+    "cooled_down": f"WITH {SQL_VIDEOS}, m AS (SELECT floor((min(epoch_us(updated_at)) + max(epoch_us(updated_at))) / 2) AS m FROM v) SELECT id FROM v, m WHERE id % 7 <> 0 AND (updated_at IS NULL OR epoch_us(updated_at) <= m)",
     "video_filter": f"WITH {SQL_VIDEOS} SELECT id FROM v WHERE lower(trim(platform)) = 'douyin'",
     "author_sources": f"WITH {SQL_COMMENTS} SELECT author_platform_id, count(*) AS n, round(count(*) FILTER (level = 2)::DOUBLE / count(*), 9) AS reply_share FROM c GROUP BY 1",
 }
-QUERIES = {f.__name__: f for f in (switch_tokens, positive_numbers, local_times, month_counts, first_tags, like_changes, slice_status, table_signatures, image_paths, payload_words, payload_levels, report_by_source, report_texts, video_filter, author_sources)}
+QUERIES = {f.__name__: f for f in (switch_tokens, positive_numbers, local_times, month_counts, first_tags, like_changes, slice_status, table_signatures, image_paths, payload_words, payload_levels, report_by_source, report_texts, video_filter, confidence_levels, rebuilt_probabilities, endpoints, slice_seconds, cooled_down, author_sources)}

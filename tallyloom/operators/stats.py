@@ -102,16 +102,15 @@ def with_p(df: DataFrame, p: Callable[..., float], cols: Sequence[str], out: str
 def _ranked(counts: DataFrame, value: str, buckets: int, by: Sequence[str] = ()) -> DataFrame:
     """Add ``_upto`` to distinct values with ``n``: how many rows of a group are not greater.
 
-    Distinct values are spread over buckets between approximate quantiles, so
-    that no task ranks them all, and a group of any size is many tasks.
+    Distinct values are spread over ranges, so that no task ranks them all,
+    and a group of any size is many tasks. The ranges are kept in the
+    checkpoint folder: they must be the same for all that follows.
     """
-    # a scalar subquery of as many numbers as there are edges
-    edges = counts.agg(F.coalesce(F.percentile_approx(F.col(value), F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(1000)), F.array().cast(f"array<{dict(counts.dtypes)[value]}>"))).scalar()
-    d = counts.withColumn("_e", edges).withColumn("_b", F.aggregate("_e", F.lit(0), lambda acc, e: acc + F.when(F.col(value) > e, 1).otherwise(0))).drop("_e")
+    d = checkpointed(counts.repartitionByRange(buckets, *by, value).withColumn("_b", F.spark_partition_id()))
     per = d.groupBy(*by, "_b").agg(F.sum("n").alias("_t"))
-    # a row per group and bucket
+    # a row per group and range
     before = per.withColumn("_before", F.coalesce(F.sum("_t").over(Window.partitionBy(*(by or (F.lit(0),))).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(*by, "_b", "_before")
-    # without groups it has as many rows as buckets, else the planner decides by its size
+    # without groups it has as many rows as ranges, else the planner decides by its size
     before = before if by else F.broadcast(before)
     upto = F.sum("n").over(Window.partitionBy(*by, "_b").orderBy(value))
     return d.join(before, [*by, "_b"]).withColumn("_upto", F.col("_before") + upto).drop("_b", "_before")
